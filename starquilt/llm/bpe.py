@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
@@ -273,21 +272,23 @@ def coder(ranks_file: str) -> Coder:
     return Coder(ranks_file)
 
 
-def encode_documents(df: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, and `ids` (array of int) if asked for."""
+def encode_documents(df: DataFrame, ranks_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded, the bytes that the ids stand for."""
     rows = df.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_file)
         for b in batches:
-            ids = c.encode_batch(b.column(1).to_pylist())
-            cols = [
-                b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
-            ]
-            if with_ids:
-                cols.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
-
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+            for lo in range(0, len(b), 512):
+                part = b.slice(lo, 512)
+                ids = c.encode_batch(part.column(1).to_pylist())
+                cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids", "decoded"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens and the SHA-256 of ids and decoded bytes."""
+    return encoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

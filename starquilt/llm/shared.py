@@ -42,7 +42,8 @@ def estimated_bytes(df: DataFrame) -> int:
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """Partitions so that each gets about `bytes_each` of the estimate; at least the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(1_000_000, max(least, estimated_bytes(df) // bytes_each + 1)))
+    known = estimated_bytes(df)
+    return least if known >= 1 << 60 else max(least, known // bytes_each + 1)  # 2**63 - 1 stands for unknown
 
 
 def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -70,3 +71,19 @@ def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def hashed_unit(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the columns alone."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of `rows` to `groups`, which has a row for each key and the number of rows it stands for in `size`.
+
+    Groups of over a thousandth of all rows number under a thousand whatever the input, so they are broadcast and their
+    rows stay where they are; what remains has no large key and joins by shuffle. Null keys match.
+    """
+    groups = frozen(groups.withColumnRenamed(key, "_key"))  # renamed: the names of both sides are then clear
+    total = int(groups.agg(F.sum(size)).first()[0] or 0)
+    hot = F.col(size) > F.lit(max(100, total // 1000))
+    big = groups.filter(hot)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    near = rows.join(F.broadcast(big), same)
+    far = rows.join(F.broadcast(big.select("_key")), same, "left_anti").join(groups.filter(~hot), same)
+    return near.unionByName(far).drop("_key")
