@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, langid, mixing, pii, simhash, urlfilter
+from . import bpe, dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
 from .shared import table
 
 
@@ -39,7 +39,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_url_filter, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op9_mix)
+    f.__name__: f for f in (op1_bpe, op2_url_filter, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op9_mix, op10_token_store)
 }
 SQL = {"op2_url_filter": urlfilter.SQL, "op7_exact_dedup": dedup.SQL}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import frozen, join_groups
+from .shared import frozen, join_groups, unused
 
 WORDS, SEED, BUDGET = 3, 42, 3
 
@@ -254,12 +254,13 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 4096) -> DataFrame:
     """The rows of `df`, all columns, of which one of each class stays: that of the smallest id (and smallest fingerprint, if rows share the id)."""
-    full = with_fingerprint(df, text_col, "_fp")
+    fp, wid, wfp, place = unused(df, "_fp", "_wid", "_wfp", "_n")
+    full = with_fingerprint(df, text_col, fp)
     prints = frozen(with_fingerprint(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "_fp").drop("_text"))
     found = join_groups(prints, classes_of(prints, bucket).withColumnRenamed("fp", "_fp"), "_fp", "n")
     # the first of a class: ids are compared with null last
     first = found.groupBy(F.col("component_id")).agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_fp"))).alias("_f"))
-    first = first.select(F.col("_f._id").alias("_wid"), F.col("_f._fp").alias("_wfp"))
-    kept = full.join(first, F.col(id_col).eqNullSafe(F.col("_wid")) & (F.col("_fp") == F.col("_wfp")), "left_semi")
-    order = Window.partitionBy(id_col, "_fp").orderBy(F.length(text_col), text_col)
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*df.columns)
+    first = first.select(F.col("_f._id").alias(wid), F.col("_f._fp").alias(wfp))
+    kept = full.join(first, F.col(id_col).eqNullSafe(F.col(wid)) & (F.col(fp) == F.col(wfp)), "left_semi")
+    order = Window.partitionBy(id_col, fp).orderBy(F.length(text_col), text_col)
+    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*df.columns)
