@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .shared import frozen
+from .shared import frozen, join_groups, unused
 
 HASHES = 4
 #: Bits of one segment, the unit in which partial filters are merged.
@@ -151,7 +151,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. A group of any size costs one pre-aggregated row per task in the
-    shuffle that finds its largest id; the join back is plain, so that a skewed key can be split at run time.
+    shuffle that finds its largest id; their rows then meet it without a shuffle if the
+    group is large, and by a join on the digest if not.
     """
     slim = with_digest(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "_sha").drop("_text")
     slim = frozen(slim.withColumn("_row", F.monotonically_increasing_id()))
@@ -159,9 +160,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = marked.filter(~F.col("_maybe")).select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
     )
-    some = marked.filter("_maybe").select("_id", "_sha", "_row")
+    some = frozen(marked.filter("_maybe").select("_id", "_sha", "_row"))
     best = some.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_best"), F.count("*").alias("group_size"))
-    rest = some.join(best, "_sha").select(
+    rest = join_groups(some, best, "_sha", "group_size").select(
         F.col("_id").alias(id_col), F.col("_best._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")
     )
     return alone.unionByName(rest)
@@ -175,11 +176,11 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     slim = frozen(with_digest(df.select(F.col(text_col).alias("_text")), "_text", "_sha").select("_sha"))
     found = repeated_filter(slim, "_sha", slim.count(), max_bits)
-    marked = with_maybe_repeated(with_digest(df, text_col, "_sha"), "_sha", found, "_maybe")
-    columns = df.columns
-    order = Window.partitionBy("_sha").orderBy(F.col(id_col).desc_nulls_last())
-    first = marked.filter("_maybe").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return marked.filter(~F.col("_maybe")).select(*columns).unionByName(first.select(*columns))
+    sha, maybe, place = unused(df, "_sha", "_maybe", "_n")
+    marked = with_maybe_repeated(with_digest(df, text_col, sha), sha, found, maybe)
+    order = Window.partitionBy(sha).orderBy(F.col(id_col).desc_nulls_last())
+    first = marked.filter(maybe).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return marked.filter(~F.col(maybe)).select(*df.columns).unionByName(first.select(*df.columns))
 
 
 SQL = """
