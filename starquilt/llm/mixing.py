@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import frozen, global_rank, hashed_unit
+from .shared import frozen, global_rank, hashed_unit, join_groups, unused
 
 WEIGHTS = (3, 1, 2)
 
@@ -64,10 +64,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     sizes = with_words(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")), "_text", "_size").drop("_text")
     ranked = frozen(global_rank(sizes.withColumn("_none", F.col("_source").isNull()), ["_none", "_source", "_size", "_id"], "_rank"))
     by = targets(ranked.select("_source", "_size"), budget, most)
-    first = ranked.groupBy("_source").agg(F.min("_rank").alias("_first")).withColumnRenamed("_source", "_s")
+    first = ranked.groupBy(F.col("_source").alias("_s")).agg(F.min("_rank").alias("_first"))
     by = by.join(first, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("_source", "_of")
     by = by.withColumn("_rate", F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(0.0)).withColumn("_offset", hashed_unit(seed, F.coalesce("_of", F.lit("")), F.col("_of").isNull()))
-    rows = ranked.join(by, F.col("_source").eqNullSafe(F.col("_of")))
+    rows = join_groups(ranked, by.withColumnRenamed("_of", "_source"), "_source", "_docs")
     at = F.col("_rank") - F.col("_first")
     crossed = F.floor(F.col("_rate") * (at + 1) + F.col("_offset")) - F.floor(F.col("_rate") * at + F.col("_offset"))
     copies = F.least(crossed, F.ceil("_rate")).cast("long")
@@ -81,5 +81,6 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Decisions join by id; rows that share an id (ids are meant to be unique) also share the copies of the first of them.
     """
-    got = mix(df, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return df.join(got, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*df.columns)
+    key, copies, i = unused(df, "_id", "_copies", "_i")
+    got = mix(df, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    return df.join(got, F.col(id_col).eqNullSafe(F.col(key))).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*df.columns)
