@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
+from . import ann, bpe, dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
 from .shared import table
 
 
@@ -35,6 +35,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
@@ -44,6 +48,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_url_filter, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op9_mix, op10_token_store)
+    f.__name__: f for f in (op1_bpe, op2_url_filter, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op8_ann, op9_mix, op10_token_store)
 }
 SQL = {"op2_url_filter": urlfilter.SQL, "op7_exact_dedup": dedup.SQL}
