@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, dedup, langid, mixing, pii, simhash, tokenstore, urlfilter
+from . import ann, bpe, dedup, langid, licenses, mixing, pii, simhash, tokenstore, urlfilter
 from .shared import table
 
 
@@ -19,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.spans_of(table(spark, sf_dir, "documents")))
 
@@ -48,6 +52,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_url_filter, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op8_ann, op9_mix, op10_token_store)
+    f.__name__: f for f in (op1_bpe, op2_url_filter, op3_license_scan, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op8_ann, op9_mix, op10_token_store)
 }
 SQL = {"op2_url_filter": urlfilter.SQL, "op7_exact_dedup": dedup.SQL}
