@@ -240,8 +240,8 @@ def classes_of(prints: DataFrame, bucket: int = 4096) -> DataFrame:
     """For (_id, _fp) rows: each distinct `fp` with `n`, its rows, and `component_id`, the smallest id of its class."""
     each = frozen(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least"), F.count("*").alias("n")))
     roots = frozen(components(links(each, bucket)))
-    named = roots.join(each, roots.v == each.fp).groupBy("root").agg(F.min("least").alias("_c"))
-    linked = roots.join(named, "root").select(F.col("v").alias("_v"), "_c")
+    named = roots.join(each, roots.v == each.fp).groupBy("root").agg(F.min("least").alias("_c"), F.count("*").alias("_n"))
+    linked = join_groups(roots, named, "root", "_n").select(F.col("v").alias("_v"), "_c")
     return each.join(linked, each.fp == linked._v, "left").select("fp", "n", F.when(F.col("_v").isNull(), F.col("least")).otherwise(F.col("_c")).alias("component_id"))
 
 
