@@ -1,7 +1,7 @@
 """Token ids in shard files with a minimal perfect hash index.
 
 A shard holds a range of documents in ascending key order: first the raw ids of all of them, little-endian unsigned
-32-bit integers, then tables, then a footer that says where each table lies. The tables: where each document begins,
+integers of 16 bits if the vocabulary allows it and of 32 if not, then tables, then a footer that says where each table lies. The tables: where each document begins,
 its key, and the index. The index is a minimal perfect hash over the shard's distinct keys, built in levels of bit
 arrays: on each level a key owns its bit if no other remaining key hashes to it, and moves on if not; the rank of the
 bit is the key's slot. A slot stores the row of the key's first document and a 32-bit fingerprint of the key, so that a
@@ -34,50 +34,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WHITE
-from .shared import new_path, parts_for
+from .shared import map_pieces, new_path, parts_for
 
 END_ID = 2
 MAGIC = b"SQTS"
 _WS = "".join(map(re.escape, map(chr, WHITE)))
-#: A run of white space with the other characters after it. The splitting pattern of byte-level BPE always breaks
-#: before such a run and never looks back, so these chunks are encoded independently of each other.
-_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Pieces that are encoded independently of each other. The splitting pattern of byte-level BPE always breaks before a
+#: run of white space and never looks back, so such a run and the characters after it may stand alone; so may a run of
+#: letters from a first place, with the one space before it, if an ASCII character that is none follows.
+_PIECE = re.compile(f" ?[{_LETTERS}]++(?![^\x00-\x7f])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_WORD = re.compile(f" ?[{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the library's vocabulary: itself where it prints, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class LibraryCoder:
     """The tokenizers library behind a cache of chunks."""
 
-    def __init__(self, file: str, cache_size: int = 300_000):
+    def __init__(self, file: str, cache_size: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.cache_size = cache_size
 
+    def _ids(self, piece: str) -> list[int]:
+        """One word goes straight to the library's merge model, as its splitter would hand it over; other pieces go through the whole tokenizer."""
+        if _WORD.fullmatch(piece):
+            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        split = [_CHUNK.findall(t) if t else [] for t in texts]
         if len(self.young) > self.cache_size:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []
-        for c in set().union(*split) - young.keys():
-            if (got := old.get(c)) is not None:
-                young[c] = got
-            else:
-                missing.append(c)
-        for lo in range(0, len(missing), 1 << 14):
-            part = missing[lo : lo + (1 << 14)]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                young[c] = struct.pack(f"<{len(ids)}I", *ids)
-        out = [b"".join(map(young.__getitem__, s)) for s in split]
-        for c in missing:
+        split = [_PIECE.findall(t) if t else [] for t in texts]
+        long = []
+        for c in set().union(*split).difference(young):
+            got = old.get(c)
+            if got is None:
+                ids = self._ids(c)
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            young[c] = got
             if len(c) > 64:
-                del young[c]
+                long.append(c)
+        out = [b"".join(map(young.__getitem__, s)) for s in split]
+        for c in long:
+            del young[c]
         return out
 
 
@@ -142,8 +156,8 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Writes documents in ascending key order."""
 
-    def __init__(self, path: str, attempt: int):
-        self.path = path
+    def __init__(self, path: str, attempt: int, width: int = 4):
+        self.path, self.width = path, width
         self.fs, at = _filesystem(path)
         self.final, self.temporary = at, f"{at}.{attempt}"
         self.fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -152,6 +166,8 @@ class ShardWriter:
 
     def add(self, keys: list[int | None], ids: list[bytes]) -> None:
         data = b"".join(ids)
+        if self.width == 2:
+            data = np.frombuffer(data, "<u4").astype("<u2").tobytes()
         self.out.write(data)
         self.written += len(data)
         self.sizes.append(np.array([len(x) // 4 for x in ids], np.int64))
@@ -170,7 +186,7 @@ class ShardWriter:
         row[slot] = first
         mark[slot] = mixed(keys[first], PerfectHash.FINGERPRINT).astype(np.uint32)
         tables = {"begins": begins, "keys": keys.astype("<i8"), "nulls": nulls, "words": hashed.words.astype("<u8"), "ranks": hashed.ranks.astype("<i8"), "rows": row, "marks": mark}
-        foot: dict = {"levels": hashed.levels, "tables": {}}
+        foot: dict = {"levels": hashed.levels, "width": self.width, "tables": {}}
         for name, t in tables.items():
             foot["tables"][name] = (self.written, t.dtype.str, len(t))
             self.out.write(t.tobytes())
@@ -194,6 +210,7 @@ class Shard:
             raise ValueError(f"{path} is no whole shard")
         foot = json.loads(self.file.read_at(n, size - 8 - n))
         self.tables = {k: np.frombuffer(self.file.read_at(np.dtype(d).itemsize * m, o), d) if m else np.zeros(0, d) for k, (o, d, m) in foot["tables"].items()}
+        self.width = foot["width"]
         self.hash = PerfectHash(foot["levels"], self.tables["words"], self.tables["ranks"])
         self.begins, self.keys, self.nulls = self.tables["begins"], self.tables["keys"], self.tables["nulls"]
 
@@ -212,8 +229,10 @@ class Shard:
         return out
 
     def ids(self, row: int) -> bytes:
-        a, b = int(self.begins[row]) * 4, int(self.begins[row + 1]) * 4
-        return self.file.read_at(b - a, a)
+        """Ids of a row as little-endian unsigned 32-bit integers."""
+        a, b = int(self.begins[row]) * self.width, int(self.begins[row + 1]) * self.width
+        raw = self.file.read_at(b - a, a)
+        return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
 def write_store(df: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, end_id: int = END_ID) -> list[tuple[int, str, int, int]]:
@@ -226,15 +245,15 @@ def write_store(df: DataFrame, tokenizer_file: str, folder: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get()
         coder, writer = library_coder(tokenizer_file), None
+        width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                writer = writer or ShardWriter(f"{folder}/shard-{at.partitionId():07d}", at.taskAttemptId())
-                writer.add(part.column(0).to_pylist(), [x + end for x in coder.encode(part.column(1).to_pylist())])
+            if len(b):
+                writer = writer or ShardWriter(f"{folder}/shard-{at.partitionId():07d}", at.taskAttemptId(), width)
+                writer.add(b.column(0).to_pylist(), [x + end for x in coder.encode(b.column(1).to_pylist())])
         if writer:
             yield pa.RecordBatch.from_pylist([dict(zip(("part", "path", "docs", "ids"), (at.partitionId(), *writer.close()), strict=True))])
 
-    return sorted(tuple(r) for r in rows.mapInArrow(run, "part long, path string, docs long, ids long").collect())
+    return sorted(tuple(r) for r in map_pieces(rows, run, "part long, path string, docs long, ids long").collect())
 
 
 def read_store(like: DataFrame, shards: list[tuple[int, str, int, int]], id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:

@@ -36,8 +36,9 @@ def test_hash_is_minimal_and_perfect(n):
     assert sorted(h.slots(keys).tolist()) == list(range(len(keys)))
 
 
-def test_shard_lookup(tmp_path):
-    w = t.ShardWriter(f"{tmp_path}/s", 1)
+@pytest.mark.parametrize("width", [2, 4])
+def test_shard_lookup(tmp_path, width):
+    w = t.ShardWriter(f"{tmp_path}/s", 1, width)
     keys = [None, None, -5, 3, 3, 9]
     data = [struct.pack("<2I", i, i + 1) for i in range(6)]
     w.add(keys, data)
