@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_pieces
+
 L, N, O, APOSTROPHE1, APOSTROPHE2, W, LAST_SPACE, LAST_WHITE, END = range(9)
 START, IN_L, IN_N, IN_O, IN_W, AT_SPACE, AT_WHITE, ONE_MORE, TWO_MORE, CUT = range(10)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -280,13 +282,11 @@ def encode_documents(df: DataFrame, ranks_file: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_file)
         for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                ids = c.encode_batch(part.column(1).to_pylist())
-                cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids", "decoded"])
+            ids = c.encode_batch(b.column(1).to_pylist())
+            cols = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+    return map_pieces(rows, run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

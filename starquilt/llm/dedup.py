@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .shared import frozen, join_groups, unused
+from .shared import frozen, join_groups, map_pieces, unused
 
 HASHES = 4
 #: Bits of one segment, the unit in which partial filters are merged.
@@ -44,7 +44,7 @@ def with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
             d = [hashlib.sha256(normalised(x)).digest() for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d, pa.binary())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(add, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+    return map_pieces(df, add, StructType([*df.schema.fields, StructField(name, BinaryType())]))
 
 
 def _slots(digests: pa.Array, bits: int) -> np.ndarray:
@@ -139,7 +139,7 @@ def with_maybe_repeated(df: DataFrame, digest: str, found: tuple[np.ndarray, int
             hit = ((have[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1) if len(s) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, name])
 
-    return df.mapInArrow(probe, StructType([*df.schema.fields, StructField(name, BooleanType())]))
+    return map_pieces(df, probe, StructType([*df.schema.fields, StructField(name, BooleanType())]))
 
 
 def _segments(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:

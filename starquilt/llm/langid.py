@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import classes
+from .shared import map_pieces
 
 DOCS, DOC_CHARS, CHARS, TABLE_BYTES = 48, 1500, 24_000, 96 << 20
 BLOCK, ALPHABET = 256, 64
@@ -200,7 +201,7 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", names: tu
             cols = [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    return map_pieces(df, run, StructType([*df.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -221,4 +222,4 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             yield b.filter(pa.array([g[0] != "und" for g in m.predict(b.column(at).to_pylist())], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_pieces(df, run, df.schema)

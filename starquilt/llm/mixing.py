@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import frozen, global_rank, hashed_unit, join_groups, unused
+from .shared import frozen, global_rank, hashed_unit, join_groups, map_pieces, unused
 
 WEIGHTS = (3, 1, 2)
 
@@ -36,7 +36,7 @@ def with_words(df: DataFrame, text: str, name: str) -> DataFrame:
             n = np.fromiter((len(x.encode("utf-8", "surrogatepass").split()) if x else 0 for x in b.column(at).to_pylist()), np.int64, len(b))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=[*b.schema.names, name])
 
-    return df.mapInArrow(add, StructType([*df.schema.fields, StructField(name, LongType())]))
+    return map_pieces(df, add, StructType([*df.schema.fields, StructField(name, LongType())]))
 
 
 def targets(sizes: DataFrame, budget: float, most: float) -> DataFrame:

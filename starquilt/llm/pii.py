@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_pieces
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "phone_local")
 NEAR, LEAST = 40, 0.7
@@ -170,7 +172,7 @@ def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
                 cols.append(pa.array([t if t is None else redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "spans", "redacted"][: len(cols)])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, spans {SPAN}" + ", redacted string" * redacted)
+    return map_pieces(rows, run, f"`{id_col}` {kind}, spans {SPAN}" + ", redacted string" * redacted)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

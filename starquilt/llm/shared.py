@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,26 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch at most, and bytes of the pieces in which functions over texts see a batch.
+BATCH_ROWS, PIECE_BYTES = 1000, 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into pieces of about PIECE_BYTES, so that what a function makes of a piece stays small."""
+    for b in batches:
+        step = max(1, len(b) * PIECE_BYTES // max(1, b.nbytes))
+        for lo in range(0, len(b), step):
+            yield b.slice(lo, step)
+
+
+def map_pieces(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow over pieces of batches; the session's batches are limited to BATCH_ROWS rows for it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of `df` has it (in any case)."""
     have = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import frozen, join_groups, unused
+from .shared import frozen, join_groups, map_pieces, unused
 
 WORDS, SEED, BUDGET = 3, 42, 3
 
@@ -68,7 +68,7 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
             fp = fingerprints(b.column(at).to_pylist()).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+    return map_pieces(df, run, StructType([*df.schema.fields, StructField(name, LongType())]))
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
