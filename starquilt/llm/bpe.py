@@ -149,7 +149,7 @@ def boundaries(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Coder:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, ranks_file: str, cache_size: int = 300_000):
+    def __init__(self, ranks_file: str, cache_size: int = 200_000):
         with open(ranks_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.vocab: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
@@ -166,9 +166,9 @@ class Coder:
         key = a << 20 | b
         r = self.pairs.get(key)
         if r is None:
-            r = self.pairs[key] = self.ranks.get(self.vocab[a] + self.vocab[b], 1 << 30)
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
+            r = self.ranks.get(self.vocab[a] + self.vocab[b], 1 << 30)
+            if len(self.pairs) < 1 << 17:
+                self.pairs[key] = r
         return r
 
     def merge(self, piece: bytes) -> list[int]:

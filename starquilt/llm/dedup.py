@@ -35,16 +35,25 @@ def normalised(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def with_digest(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add a binary SHA-256 of the normalised text."""
+def with_digest(df: DataFrame, text: str, name: str, found: tuple[np.ndarray, int] | None = None, maybe: str = "") -> DataFrame:
+    """Add a binary SHA-256 of the normalised text; given a filter, also whether it may be repeated, in the same pass."""
     at = df.columns.index(text)
+    shared, bits = (df.sparkSession.sparkContext.broadcast(found[0]), found[1]) if found else (None, 0)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [hashlib.sha256(normalised(x)).digest() for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d, pa.binary())], names=[*b.schema.names, name])
+            d = pa.array([hashlib.sha256(normalised(x)).digest() for x in b.column(at).to_pylist()], pa.binary())
+            more = [pa.array(_probe(d, shared.value, bits), pa.bool_())] if shared else []
+            yield pa.RecordBatch.from_arrays([*b.columns, d, *more], names=[*b.schema.names, name, maybe][: len(b.schema) + 1 + len(more)])
 
-    return map_pieces(df, add, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+    schema = StructType([*df.schema.fields, StructField(name, BinaryType())])
+    return map_pieces(df, add, StructType([*schema.fields, StructField(maybe, BooleanType())]) if found else schema)
+
+
+def _probe(digests: pa.Array, have: np.ndarray, bits: int) -> np.ndarray:
+    """False only for digests that some slot shows to be no repeated ones."""
+    s = _slots(digests, bits).astype(np.int64)
+    return ((have[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1) if len(s) else np.zeros(0, bool)
 
 
 def _slots(digests: pa.Array, bits: int) -> np.ndarray:
@@ -135,9 +144,7 @@ def with_maybe_repeated(df: DataFrame, digest: str, found: tuple[np.ndarray, int
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for b in batches:
-            s = _slots(b.column(at), bits).astype(np.int64)
-            hit = ((have[s >> 3] >> (s & 7).astype(np.uint8)) & 1).all(axis=1) if len(s) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_probe(b.column(at), have, bits), pa.bool_())], names=[*b.schema.names, name])
 
     return map_pieces(df, probe, StructType([*df.schema.fields, StructField(name, BooleanType())]))
 
@@ -177,7 +184,7 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = frozen(with_digest(df.select(F.col(text_col).alias("_text")), "_text", "_sha").select("_sha"))
     found = repeated_filter(slim, "_sha", slim.count(), max_bits)
     sha, maybe, place = unused(df, "_sha", "_maybe", "_n")
-    marked = with_maybe_repeated(with_digest(df, text_col, sha), sha, found, maybe)
+    marked = with_digest(df, text_col, sha, found, maybe)
     order = Window.partitionBy(sha).orderBy(F.col(id_col).desc_nulls_last())
     first = marked.filter(maybe).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
     return marked.filter(~F.col(maybe)).select(*df.columns).unionByName(first.select(*df.columns))
