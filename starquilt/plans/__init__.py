@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables, with the SQL they are held against."""
+
+from . import map_queries
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "map_queries"]
