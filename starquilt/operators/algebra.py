@@ -11,6 +11,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,13 +267,12 @@ def _function(func: Any) -> Callable[[Column, Column], Column]:
     name = func if isinstance(func, str) else getattr(func, "__name__", "")
     if name in FUNCTIONS:
         return FUNCTIONS[name]
-    import pandas as pd
 
-    @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(func(a.to_numpy(), b.to_numpy()))
 
-    return run
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")
 
 
 def ufunc_union(maps: Sequence[SkyMap], func: Any, filler_value: float = 0) -> SkyMap:

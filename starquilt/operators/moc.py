@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
@@ -23,13 +23,17 @@ def to_moc(m: SkyMap) -> DataFrame:
     return reduce(lambda a, b: a.union(b), done)
 
 
+def _shifted(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", x, bits.cast("int"))
+
+
 def from_moc(uniq: DataFrame, nside_coverage: int) -> SkyMap:
     """A boolean map as fine as the finest pixel of (uniq)."""
     # position of the highest bit: 2 + 2 * order
     order = F.floor((F.length(F.bin("uniq")) - 3) / 2).cast("int")
-    rows = uniq.select(order.alias("order"), (F.col("uniq") - F.shiftleft(F.lit(1).cast("bigint"), 2 + 2 * order)).alias("index"))
+    rows = uniq.select(order.alias("order"), (F.col("uniq") - _shifted(F.lit(1).cast("bigint"), 2 + 2 * order)).alias("index"))
     finest = rows.agg(F.max("order")).first()[0]
     finest = px.order_of(nside_coverage) if finest is None else max(finest, px.order_of(nside_coverage))
     k = (2 * (F.lit(finest) - F.col("order"))).cast("int")
-    df = rows.repartition("index").select(F.explode(F.sequence(F.shiftleft("index", k), F.shiftleft(F.col("index") + 1, k) - 1)).alias("pix")).distinct()
+    df = rows.repartition("index").select(F.explode(F.sequence(_shifted(F.col("index"), k), _shifted(F.col("index") + 1, k) - 1)).alias("pix")).distinct()
     return SkyMap(df, Meta(nside_coverage, 1 << finest, "bool", "bool", False))
