@@ -1,16 +1,37 @@
-"""Numbering the rows of a table without one task that sees them all."""
+"""Numbering the rows of a table without one task that sees them all, and keeping tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="starquilt-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """`df` computed once: later reads agree and survive lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add a long `name` from 0 in the order of `keys`, which must tell rows apart: ranges are sorted, counted, and offset by the counts before them."""
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        rows = rows.checkpoint()  # both uses below then see the same ranges
+    rows = frozen(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
     counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright("_at", 33)).count().collect())
     base, total = [], 0
     for part, n in counts:

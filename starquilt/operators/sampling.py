@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
-from ..functions.ranking import global_rank
+from ..functions.ranking import frozen, global_rank
 from .skymap import SkyMap
 
 
@@ -38,9 +38,9 @@ def make_uniform_randoms(m: SkyMap, n: int, seed: int = 0, rounds: int = 200) ->
         size = int((n - have) / max(share, 1e-9) * 1.1) + 1000
         draw = spark.range(size).select((F.lit(lo) + F.rand(seed + 2 * k) * (hi - lo)).alias("_z"), (F.rand(seed + 2 * k + 1) * 360.0).alias("ra"))
         got = px.with_pixel_of_z(draw, m.nside_sparse, "_z", "ra", "_p").join(m.valid_pixels.withColumnRenamed("pix", "_p"), "_p", "left_semi")
-        got = got.select("ra", F.degrees(F.asin("_z")).alias("dec")).checkpoint() if spark.sparkContext.getCheckpointDir() else got.select("ra", F.degrees(F.asin("_z")).alias("dec"))
+        got = frozen(got.select("ra", F.degrees(F.asin("_z")).alias("dec")))
         out = got if out is None else out.union(got)
-        have = out.count()
+        have += got.count()
         if have >= n:
             break
     return out.limit(n)

@@ -109,6 +109,12 @@ class SkyCoverage:
         px.shift_between(nside_sparse, nside_coverage)
         return cls(nside_coverage, nside_sparse, spark.createDataFrame([(int(c),) for c in sorted(set(cov_pixels))], "cov_pix bigint"))
 
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> SkyCoverage:
+        from ..sources import read_coverage
+
+        return read_coverage(spark, path)
+
     def append_pixels(self, cov_pixels: Sequence[int] | DataFrame) -> SkyCoverage:
         more = cov_pixels if isinstance(cov_pixels, DataFrame) else self.df.sparkSession.createDataFrame([(int(c),) for c in cov_pixels], "cov_pix bigint")
         return SkyCoverage(self.nside_coverage, self.nside_sparse, self.df.union(more.select("cov_pix")).distinct())
@@ -489,6 +495,21 @@ class SkyMap:
         return out if nest else px.with_ring(out, one.nside_sparse, "pix", "_ring").select(F.col("_ring").alias("pix"), "v")
 
     # what other modules add -----------------------------------------------------------------------------------------
+    @staticmethod
+    def read(spark: SparkSession, path: str, **how: Any) -> Any:
+        """A map from a file or folder; see `starquilt.sources.read_map`."""
+        from ..sources import read_map
+
+        return read_map(spark, path, **how)
+
+    def write(self, path: str, format: str = "fits", **how: Any) -> None:  # noqa: A002
+        from ..sources import write_map
+
+        write_map(self, path, format, **how)
+
+    def write_moc(self, path: str, clobber: bool = False) -> None:
+        self.write(path, "moc", clobber=clobber)
+
     def degrade(self, nside_out: int, reduction: str = "mean", weights: SkyMap | None = None, empty_groups: str = "value") -> SkyMap:
         from .resolution import degrade
 
