@@ -170,9 +170,9 @@ def _nest(t: Tables) -> DataFrame:
     return px.with_nest(t.spark.range(N_PIX).withColumnRenamed("id", "ring"), NSIDE, "ring")
 
 
-@query("angle_to_vector", with_relations("SELECT pix, round(s * cos(radians(lon)), 7) AS x, round(s * sin(radians(lon)), 7) AS y, round(z, 7) AS z FROM placed", "b", more=sql_place("b", NSIDE)))
+@query("angle_to_vector", with_relations("SELECT pix, round(s * cos(radians(lon)), 7) + 0.0 AS x, round(s * sin(radians(lon)), 7) + 0.0 AS y, round(z, 7) + 0.0 AS z FROM placed", "b", more=sql_place("b", NSIDE)))
 def _vectors(t: Tables) -> DataFrame:
-    return px.with_vector(t.b().valid_pixels, NSIDE).select("pix", *[F.round(c, 7).alias(c) for c in "xyz"])
+    return px.with_vector(t.b().valid_pixels, NSIDE).select("pix", *[(F.round(c, 7) + 0.0).alias(c) for c in "xyz"])
 
 
 @query("get_values_pos", with_relations(f"SELECT event_id, coalesce(v, {UNSEEN}) AS v FROM pixelled p LEFT JOIN a ON p.pix = a.pix", "spots", "a", more=sql_pixel("spots", NSIDE)))
