@@ -45,10 +45,11 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def map_pieces(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow over pieces of batches; the session's batches are limited to BATCH_ROWS rows for it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """mapInArrow over pieces of batches; the session's batches are limited to BATCH_ROWS rows and PIECE_BYTES bytes for it, of which a single long text may be more."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
     return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
 
 
