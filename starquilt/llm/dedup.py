@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .shared import frozen, join_groups, map_pieces, unused
+from .shared import columns_of, frozen, join_groups, map_pieces, unused
 
 HASHES = 4
 #: Bits of one segment, the unit in which partial filters are merged.
@@ -149,11 +149,6 @@ def with_maybe_repeated(df: DataFrame, digest: str, found: tuple[np.ndarray, int
     return map_pieces(df, probe, StructType([*df.schema.fields, StructField(name, BooleanType())]))
 
 
-def _segments(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["seg", "once", "twice"])
-
-
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -187,7 +182,7 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = with_digest(df, text_col, sha, found, maybe)
     order = Window.partitionBy(sha).orderBy(F.col(id_col).desc_nulls_last())
     first = marked.filter(maybe).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
-    return marked.filter(~F.col(maybe)).select(*df.columns).unionByName(first.select(*df.columns))
+    return marked.filter(~F.col(maybe)).select(*columns_of(df)).unionByName(first.select(*columns_of(df)))
 
 
 SQL = """

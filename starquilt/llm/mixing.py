@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import frozen, global_rank, hashed_unit, join_groups, map_pieces, unused
+from .shared import columns_of, frozen, global_rank, hashed_unit, join_groups, map_pieces, unused
 
 WEIGHTS = (3, 1, 2)
 
@@ -83,4 +83,4 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     key, copies, i = unused(df, "_id", "_copies", "_i")
     got = mix(df, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
-    return df.join(got, F.col(id_col).eqNullSafe(F.col(key))).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*df.columns)
+    return df.join(got, F.col(id_col).eqNullSafe(F.col(key))).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns_of(df))

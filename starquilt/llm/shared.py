@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,22 @@ def map_pieces(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
-    return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
+    if not any("." in c or "`" in c for c in df.columns):
+        return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
+    # mapInArrow resolves names as paths: names with dots and ticks are set aside for it
+    names, fields = df.columns, StructType.fromDDL(schema).fields if isinstance(schema, str) else schema.fields
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(pieces(x.rename_columns(names) for x in batches)):
+            yield b.rename_columns([f"c{k}" for k in range(len(fields))])
+
+    plain = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, plain).toDF(*[f.name for f in fields])
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

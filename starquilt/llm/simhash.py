@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import frozen, join_groups, map_pieces, unused
+from .shared import columns_of, frozen, join_groups, map_pieces, unused
 
 WORDS, SEED, BUDGET = 3, 42, 3
 
@@ -263,4 +263,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = first.select(F.col("_f._id").alias(wid), F.col("_f._fp").alias(wfp))
     kept = full.join(first, F.col(id_col).eqNullSafe(F.col(wid)) & (F.col(fp) == F.col(wfp)), "left_semi")
     order = Window.partitionBy(id_col, fp).orderBy(F.length(text_col), text_col)
-    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*df.columns)
+    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*columns_of(df))
