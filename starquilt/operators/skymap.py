@@ -364,6 +364,23 @@ class SkyMap:
         return self.get_values_pix(pixels)
 
     # updates --------------------------------------------------------------------------------------------------------
+    def with_items(self, key: Any, value: Any) -> SkyMap:
+        """What `m[key] = value` does elsewhere: one pixel, a slice, or a list of pixels replaced; None takes them out."""
+        if isinstance(key, slice):
+            start, stop, step = key.start or 0, px.n_pixels(self.nside_sparse) if key.stop is None else key.stop, key.step or 1
+            if isinstance(value, (list, tuple)) and self.meta.kind not in ("wide", "record"):
+                return self.update_values_pix(list(range(start, stop, step)), value)
+            if step == 1:
+                return self.update_values_pix([(start, stop)], value)
+            return self.update_values_pix(self.df.sparkSession.range(start, stop, step).withColumnRenamed("id", "pix"), value)
+        if isinstance(key, (str, bool, float)):
+            raise IndexError("pixels are integers, slices or lists of integers")
+        pixels = key.tolist() if hasattr(key, "tolist") else key
+        pixels = [pixels] if hasattr(pixels, "__index__") else list(pixels)
+        if any(isinstance(p, bool) or not hasattr(p, "__index__") for p in pixels):
+            raise IndexError("pixels are integers")
+        return self.update_values_pix(pixels, value)
+
     def update_values_pix(self, pixels: DataFrame | Sequence[int], values: Any = None, nest: bool = True, operation: str = "replace", check_unique: bool = True) -> SkyMap:
         """A map with the given pixels replaced, added to, or combined bit by bit.
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import algebra
+from ..operators import algebra, packed
 from ..operators.skymap import SkyMap
 from .base import COVERAGE, NSIDE, Tables, query, with_relations
 
@@ -161,3 +161,24 @@ def _equal(t: Tables) -> DataFrame:
 def _cross(t: Tables) -> DataFrame:
     coarse = t.b().degrade(NSIDE // 4, "max").df.select(F.col("pix").alias("_up"), F.col("v").alias("coarse"))
     return t.a().df.withColumn("_up", F.shiftright("pix", 4)).join(coarse, "_up").select("pix", "v", "coarse")
+
+
+# bitmaps ------------------------------------------------------------------------------------------------------------
+@query("bitmap_counts", with_relations("SELECT pix >> 15 AS bucket, count(*) AS n FROM ba GROUP BY 1", "ba"))
+def _bitmap_counts(t: Tables) -> DataFrame:
+    return packed.counts(packed.pack(t.ba(packed=True)))
+
+
+@query("bitmap_union", with_relations("SELECT pix FROM ba UNION SELECT pix FROM bb", "ba", "bb"))
+def _bitmap_union(t: Tables) -> DataFrame:
+    return packed.unpack(packed.union([packed.pack(t.ba()), packed.pack(t.bb())]), t.ba()).df
+
+
+@query("bitmap_intersection", with_relations("SELECT pix FROM ba INTERSECT SELECT pix FROM bb", "ba", "bb"))
+def _bitmap_intersection(t: Tables) -> DataFrame:
+    return packed.unpack(packed.intersection([packed.pack(t.ba()), packed.pack(t.bb())]), t.ba()).df
+
+
+@query("bitmap_lookup", with_relations("SELECT event_id, p.pix, ba.pix IS NOT NULL AS valid FROM pts p LEFT JOIN ba ON p.pix = ba.pix", "pts", "ba"))
+def _bitmap_lookup(t: Tables) -> DataFrame:
+    return packed.contains(packed.pack(t.ba()), t.pts())

@@ -132,6 +132,15 @@ def test_updates(spark):
         b.update_values_pix([(1, 2)], True, nest=False)
 
 
+def test_items(spark):
+    m = SkyMap.make_empty(spark, NC, NS).with_items(slice(0, 4), 1.0).with_items([7, 9], [2.0, 3.0]).with_items(np.int64(3), 5.0).with_items(slice(20, 30, 5), 6.0)
+    assert values(m) == {0: 1.0, 1: 1.0, 2: 1.0, 3: 5.0, 7: 2.0, 9: 3.0, 20: 6.0, 25: 6.0}
+    assert values(m.with_items(slice(0, 21), None)) == {25: 6.0} and values(m.with_items(slice(0, 2), [8.0, 9.0]))[1] == 9.0
+    for bad in ("a", 1.5, True, [1.5]):
+        with pytest.raises(IndexError):
+            m.with_items(bad, 1.0)
+
+
 def test_ring_numbers(spark):
     m = SkyMap.make_empty(spark, NC, NS).update_values_pix(list(range(20)), [float(k) for k in range(20)], nest=False)
     got = m.get_values_pix(list(range(20)), nest=False)
