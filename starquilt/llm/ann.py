@@ -12,7 +12,7 @@ How many lists to probe is measured: for `TRIAL` sampled queries the true neighb
 rows, and the fewest lists are taken that hold `TARGET` of them.
 
 Bounds on what is broadcast or reaches the driver: `SAMPLE` training vectors, `MOST_LISTS` centroids, a number for each
-cell (rows / CELL + lists), and the trial's neighbours.
+cell (`MOST_CELLS` + lists at most), and the trial's neighbours.
 
 Defined cases: rows whose id is null, or whose vector is null, empty, zero, of another length than most vectors, or
 has a null or non-finite component take no part; a query's own id is never its neighbour; rows repeated whole count
@@ -33,6 +33,8 @@ from .shared import frozen, join_groups
 
 SAMPLE, MOST_LISTS, SLICES, CODES = 16_384, 4096, 16, 256
 CELL, SHARD, SHORT = 8192, 16_384, 160
+#: Cells beyond one for each list; with more entries than CELL times this, cells and shards grow instead.
+MOST_CELLS = 1 << 20
 TRIAL, TARGET = 128, 0.98
 
 
@@ -179,10 +181,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
     sizes = np.zeros(len(quantiser.centroids), np.int64)
     for r in entries.groupBy("_list").count().collect():
         sizes[r[0]] = r[1]
-    chunks = np.maximum(1, -(-sizes // CELL))
+    cell = max(CELL, -(-count // MOST_CELLS))
+    chunks = np.maximum(1, -(-sizes // cell))
     first = np.cumsum(chunks) - chunks
     each = np.repeat(sizes / chunks, chunks)
-    shard_of = (np.cumsum(each) - each).astype(np.int64) // SHARD
+    shard_of = (np.cumsum(each) - each).astype(np.int64) // max(SHARD, 2 * cell)
     plan = spark.createDataFrame([(int(k), int(chunks[k]), int(first[k])) for k in range(len(chunks))], "_list int, _chunks long, _first long")
     cells = spark.createDataFrame([(int(c), int(s)) for c, s in enumerate(shard_of)], "_cell long, shard long")
     base = entries.join(F.broadcast(plan), "_list").withColumn("_cell", F.col("_first") + F.pmod(F.xxhash64("_id"), F.col("_chunks")))

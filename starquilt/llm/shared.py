@@ -90,11 +90,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Partitions that are asked for at most, however large the input: the driver keeps a few numbers for each.
+MOST_PARTS = 100_000
+
+
 def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions so that each gets about `bytes_each` of the estimate; at least the session's shuffle partitions."""
+    """Partitions so that each gets about `bytes_each` of the estimate; at least the session's shuffle partitions, at most MOST_PARTS."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = estimated_bytes(df)
-    return least if known >= 1 << 60 else max(least, known // bytes_each + 1)  # 2**63 - 1 stands for unknown
+    return least if known >= 1 << 60 else max(least, min(MOST_PARTS, known // bytes_each + 1))  # 2**63 - 1 stands for unknown
 
 
 def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
