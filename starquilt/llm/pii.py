@@ -2,8 +2,8 @@
 
 Base kinds: email, ip (parts up to 255), card (13 to 19 digits, Luhn) and phone (a plus, 9 to 15 digits); of each
 kind the leftmost matches that do not overlap, and matches that fail their check are dropped without a retry. Added
-kinds: iban (length of the country, mod-97), and, only where a context word stands close before them, ssn and
-phone_local. A score starts from the kind's and rises with context words in the `NEAR` characters before the span;
+spans: cards and phones that stand whole within a longer match that failed, next to other numbers; iban (length of the
+country, mod-97); and, only where a context word stands close before them, ssn and phone_local. A score starts from the kind's and rises with context words in the `NEAR` characters before the span;
 added kinds need `LEAST`, base kinds stay whatever their score.
 
 Every pattern is written so that the search takes time in proportion to the text: runs are entered at their first
@@ -35,6 +35,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Whole numbers inside longer matches: a run of digits that begins as cards do, and a number after +1 or without gaps.
+_CARD_RUN = re.compile(r"(?<![0-9])[3-6][0-9]{12,18}(?![0-9])")
+_PHONE_RUN = re.compile(r"\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{9,15})(?![0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])++(?![a-z])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
@@ -61,6 +64,7 @@ class Span(NamedTuple):
     start: int
     end: int
     score: float
+    base: bool = True
 
 
 def luhn(digits: str) -> bool:
@@ -109,6 +113,16 @@ def _digits(pattern: re.Pattern[str], text: str, least: int, most: int, check: b
             yield m.span()
 
 
+def _inside(pattern: re.Pattern[str], run: re.Pattern[str], text: str, most: int, check: bool) -> Iterator[tuple[int, int]]:
+    """Runs within the matches of `pattern` that `_digits` drops."""
+    for m in pattern.finditer(text):
+        d = _NOT_DIGITS.sub("", m[0])
+        if len(d) > most:
+            for x in run.finditer(text, m.start(), m.end()):
+                if (x.end() == len(text) or not "0" <= text[x.end()] <= "9") and (not check or luhn(x[0])):
+                    yield x.span()
+
+
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
     for m in _IBAN.finditer(text):
         want = IBAN_LENGTH.get(m[0][:2], 0)
@@ -125,23 +139,25 @@ def find(text: str | None) -> list[Span]:
         return []
     out = []
 
-    def add(kind: str, places: Iterator[tuple[int, int]], needed: float = 0.0) -> None:
+    def add(kind: str, places: Iterator[tuple[int, int]], needed: float = 0.0, base: bool = False) -> None:
         for a, b in places:
             score = min(1.0, START[kind] + (0.3 if CONTEXT[kind].search(text, max(0, a - NEAR), a) else 0.0))
             if score >= needed:
-                out.append(Span(kind, a, b, round(score, 2)))
+                out.append(Span(kind, a, b, round(score, 2), base))
 
     if "@" in text:
-        add("email", _emails(text))
-    add("ip", _ips(text))
-    add("card", _digits(_CARD, text, 13, 19, True))
+        add("email", _emails(text), base=True)
+    add("ip", _ips(text), base=True)
+    add("card", _digits(_CARD, text, 13, 19, True), base=True)
+    add("card", _inside(_CARD, _CARD_RUN, text, 19, True))
     if "+" in text:
-        add("phone", _digits(_PHONE, text, 9, 15, False))
+        add("phone", _digits(_PHONE, text, 9, 15, False), base=True)
+        add("phone", _inside(_PHONE, _PHONE_RUN, text, 15, False))
     add("iban", _ibans(text))
     add("ssn", ((m.start(), m.end()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"), LEAST)
     taken = [(s.start, s.end) for s in out]
     add("phone_local", (m.span() for m in _PHONE_LOCAL.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)), LEAST)
-    return out
+    return sorted(out, key=lambda s: (KINDS.index(s.kind), s.start))
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -154,14 +170,14 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[at:]
 
 
-SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
+SPAN = "array<struct<kind:string,start:long,end:long,score:double,base:boolean>>"
 
 
 def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False) -> DataFrame:
     """One row per input row: id and `spans`; with `redacted`, also the text without them."""
     rows = df.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType.simpleString()
-    struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,9 +192,9 @@ def spans_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reda
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, the digest of their spans, all spans and their scores as text."""
-    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    """Counts of the base spans by kind, the digest of these spans, all spans and their scores as text."""
+    base = F.filter("spans", lambda s: s["base"])
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("spans", lambda s: (s["kind"] == kind) & s["base"])).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in BASE]
     return found.select(id_col, *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))
