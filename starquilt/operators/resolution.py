@@ -102,6 +102,16 @@ def degrade(m: SkyMap, nside_out: int, reduction: str = "mean", weights: SkyMap
     return SkyMap(df.filter(out.valid()), out, cov)
 
 
+def degrade_report(m: SkyMap, nside_out: int, reduction: str = "mean") -> DataFrame:
+    """(pix, v, n, fraction): a degraded map of numbers beside the count and share of valid pixels, from one shuffle."""
+    if m.meta.kind != "scalar":
+        raise NotImplementedError("only maps of numbers are reported on")
+    k = px.shift_between(m.nside_sparse, nside_out)
+    v = F.when(~F.isnan(F.col("v").cast("double")), F.col("v").cast("double"))
+    rows = m.df.groupBy(F.shiftright("pix", k).alias("pix")).agg(reduced(reduction, v).alias("v"), F.count("*").alias("n"))
+    return rows.withColumn("fraction", F.col("n") / F.lit(float(1 << k)))
+
+
 def upgrade(m: SkyMap, nside_out: int) -> SkyMap:
     """Each value repeated in the finer pixels below its pixel."""
     if m.meta.kind == "wide" or m.meta.packed:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
-from ..operators.resolution import rollup
+from ..operators.resolution import degrade_report, rollup
 from ..operators.skymap import SkyCoverage, SkyMap
 from .base import COVERAGE, N_PIX, NSIDE, Tables, every_pixel, query, sql_pixel, sql_place, with_relations
 
@@ -21,10 +21,7 @@ SELECT b.pix, v, n, n / CAST(16 AS DOUBLE) AS fraction FROM (
 """, "a", "m"))
 def flagship(t: Tables) -> DataFrame:
     """Bin, mask, degrade, and report how much of each coarse pixel is left."""
-    kept = t.a().apply_mask(t.m(), mask_bits=5)
-    coarse = kept.degrade(NSIDE // 4).df
-    counts = kept.df.groupBy(F.shiftright("pix", 4).alias("pix")).agg(F.count("*").alias("n"))
-    return coarse.join(counts, "pix").select("pix", "v", "n", (F.col("n") / F.lit(16.0)).alias("fraction"))
+    return degrade_report(t.a().apply_mask(t.m(), mask_bits=5), NSIDE // 4)
 
 
 @query("make_empty", "SELECT CAST(count(*) AS BIGINT) AS n_valid, (SELECT count(*) FROM range(3)) AS n_covered FROM region WHERE false")
