@@ -2,13 +2,14 @@
 
 A batch of a stream is aggregated by pixel and written as a folder of its own, `batch=<number>`; sums and bits commute,
 so a map is the aggregate of all folders. A batch that is run again after a failure overwrites its own folder, so every
-row counts once, and no batch rewrites what the ones before it wrote. `compact` folds the folders into one.
+row counts once, and no batch rewrites what the ones before it wrote. `compact` folds older folders into one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,13 +52,21 @@ def snapshot(spark: SparkSession, meta: Meta, path: str, operation: str = "add")
 
 
 def compact(spark: SparkSession, meta: Meta, path: str, operation: str = "add") -> None:
-    """Replace all batch folders by one; to be run while no query writes. The new folder is whole before an old one goes."""
+    """Fold all batch folders but the newest, which a restarted query may write again, into one; to be run while no query writes.
+
+    The new folder, `<path>.compact`, is whole before it takes the old one's place.
+    """
+    system, target = at(path)
+    numbers = sorted(int(i.base_name[6:]) for i in system.get_file_info(FileSelector(target)) if i.base_name.startswith("batch="))
+    if len(numbers) < 3:
+        return
     new = f"{path.rstrip('/')}.compact"
     if exists(new):
         remove(new)
-    whole = snapshot(spark, meta, path, operation).df
-    whole.repartitionByRange("pix").sortWithinPartitions("pix").write.parquet(f"{new}/batch=-1")
-    system, target = at(path)
+    old, last = numbers[:-1], numbers[-1]
+    rows = spark.read.schema(meta.schema()).parquet(*[f"{path}/batch={n}" for n in old])
+    _combined(rows, meta, operation).repartitionByRange("pix").sortWithinPartitions("pix").write.parquet(f"{new}/batch={old[-1]}")
+    spark.read.schema(meta.schema()).parquet(f"{path}/batch={last}").write.parquet(f"{new}/batch={last}")
     remove(path)
     system.move(at(new)[1], target)
 
