@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
 from ..functions.dtypes import SPARK, check_sentinel, is_float, is_integer
-from .skymap import Meta, SkyMap, all_pixels
+from .skymap import Meta, SkyMap, all_pixels, blocks
 
 REDUCTIONS = ("mean", "median", "std", "max", "min", "sum", "prod", "and", "or", "wmean")
 
@@ -47,7 +47,7 @@ def degrade(m: SkyMap, nside_out: int, reduction: str = "mean", weights: SkyMap
     if nside_out < nc:
         warnings.warn("the result is coarser than the coverage, which is made as coarse", ResourceWarning, stacklevel=3)
         nc = nside_out
-    cov = m.cov if nc == m.nside_coverage else m.cov.select(F.shiftright("cov_pix", px.shift_between(m.nside_coverage, nc)).alias("cov_pix")).distinct()
+    cov = m.cov if nc == m.nside_coverage else blocks(m.df, px.shift_between(m.nside_sparse, nc))  # made anew from the valid pixels
     up = F.shiftright("pix", k).alias("pix")
     full = 1 << k
 

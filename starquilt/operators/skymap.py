@@ -390,9 +390,11 @@ class SkyMap:
         m, spark = self.meta, self.df.sparkSession
         if operation not in ("replace", "add", "or", "and"):
             raise ValueError(f"no such operation: {operation}")
+        if operation == "add" and m.kind == "bool":
+            raise NotImplementedError("booleans are not added")
         if operation in ("or", "and") and not (m.kind in ("bool", "wide") or m.kind == "scalar" and is_integer(m.dtype) and m.sentinel == 0):
             raise ValueError("bits are combined in integer maps with sentinel 0 and in boolean maps")
-        if operation != "replace" and m.kind == "record" or operation == "add" and m.kind in ("bool", "wide"):
+        if operation != "replace" and m.kind == "record" or operation == "add" and m.kind == "wide":
             raise ValueError(f"{operation} is not for this kind of map")
         if not isinstance(pixels, DataFrame):
             pixels = list(pixels)
@@ -409,6 +411,7 @@ class SkyMap:
             if not nest:
                 raise ValueError("ranges are of nested pixels")
             pixels = expand_ranges(pixels, m.bits)
+            check_unique = check_unique and "v" in pixels.columns  # ranges of one value may overlap
         if not nest:
             pixels = px.with_nest(pixels.withColumnRenamed("pix", "_ring_in"), self.nside_sparse, "_ring_in").drop("_ring_in")
         own = [c for c in (m.values or ["v"]) if c in pixels.columns]

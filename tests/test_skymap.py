@@ -128,8 +128,11 @@ def test_updates(spark):
     assert values(b.update_values_pix([2, 3], True)) == {1: True, 2: True, 3: True} and b.update_values_pix([1], False).n_valid == 0
     ranges = SkyMap.make_empty(spark, NC, NS, "int64").update_values_pix([(10, 20), (30, 31), (5, 5)], 3)
     assert sorted(values(ranges)) == [*range(10, 20), 30]
+    assert sorted(values(SkyMap.make_empty(spark, NC, NS).update_values_pix([(10, 20), (15, 25)], 3.0))) == list(range(10, 25))
     with pytest.raises(ValueError):
         b.update_values_pix([(1, 2)], True, nest=False)
+    with pytest.raises(NotImplementedError):
+        b.update_values_pix([1], True, operation="add")
 
 
 def test_items(spark):
