@@ -170,3 +170,36 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     top = F.max(F.when(yes, F.struct("_b.p", "_b.k", "_b.family", "_b.s")))
     out = best.groupBy("_id", "_row").agg(F.count(F.when(yes, 1)).alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set(F.when(yes, F.col("_b.family")))), ",").alias("families"), top.alias("_top"))
     return out.select(F.col("_id").alias(id_col), "n_paragraphs", "families", F.col("_top.family").alias("family"), F.round("_top.p", 6).alias("probability"), F.round("_top.s", 6).alias("similarity"))
+
+
+def sql() -> str:
+    """The same scan in DuckDB's SQL, with the model's numbers written out."""
+    m = model()
+    grams = sorted({*m.features, *(g for _, t in m.templates for g in t)})
+    weights = dict(zip(m.features, m.weights.tolist(), strict=True))
+    zero = [0.0] * len(m.families)
+    table = ",\n  ".join(f"('{g}', {weights.get(g, zero)}, {[k for k, (_, t) in enumerate(m.templates) if g in t]}::INT[])" for g in grams)
+    families = ", ".join(f"({k}, '{f}', {float(b)!r})" for k, (f, b) in enumerate(zip(m.families, m.bias, strict=True)))
+    templates = ", ".join(f"({k}, {m.families.index(f)}, {len(t)})" for k, (f, t) in enumerate(m.templates))
+    stem = lambda c: "(" + " OR ".join(f"contains({c}, '{x}')" for x in STEMS) + ")"
+    return f"""
+WITH model(gram, w, tpl) AS (VALUES
+  {table}
+), fam(k, family, bias) AS (VALUES {families}), tpl(t, k, n) AS (VALUES {templates}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, lower(text) AS body FROM documents),
+cut AS (SELECT rid, list_filter(string_split(body, chr(10)), lambda x: {stem('x')}) AS lines FROM docs WHERE {stem('body')}),
+lines AS (SELECT rid, lines[i] AS line, i AS pos FROM (SELECT rid, lines, unnest(range(1, len(lines) + 1)) AS i FROM cut)),
+words AS (SELECT rid, pos, regexp_extract_all(line, '{WORD}') AS w FROM lines),
+grams AS (SELECT rid, pos, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS gram FROM words),
+met AS (SELECT rid, pos, w, tpl FROM grams JOIN model USING (gram)),
+sums AS (SELECT rid, pos, fam.k AS k, sum(w[fam.k + 1]) AS z FROM met, fam GROUP BY ALL),
+hits AS (SELECT rid, pos, t, count(*) AS n FROM (SELECT rid, pos, unnest(tpl) AS t FROM met) GROUP BY ALL),
+share AS (SELECT rid, pos, tpl.k AS k, max(hits.n / CAST(tpl.n AS DOUBLE)) AS s FROM hits JOIN tpl USING (t) GROUP BY ALL),
+odds AS (SELECT rid, pos, k, exp(least((z + bias) / {m.temperature!r}, 700.0)) AS e FROM sums JOIN fam USING (k)),
+chance AS (SELECT rid, pos, k, e / (sum(e) OVER (PARTITION BY rid, pos) + 1.0) AS p FROM odds),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY rid, pos ORDER BY p DESC, k) AS r FROM chance),
+best AS (SELECT ranked.rid, ranked.k, family, p, coalesce(s, 0.0) AS s FROM ranked JOIN fam USING (k) LEFT JOIN share ON share.rid = ranked.rid AND share.pos = ranked.pos AND share.k = ranked.k WHERE r = 1 AND p >= {m.least!r}),
+yes AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, k, s DESC) AS r FROM best WHERE s >= {CONFIRM}),
+per_row AS (SELECT rid, count(*) AS n, array_to_string(list_sort(list_distinct(list(family))), ',') AS families, max(CASE WHEN r = 1 THEN family END) AS family, max(CASE WHEN r = 1 THEN p END) AS p, max(CASE WHEN r = 1 THEN s END) AS s FROM yes GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_paragraphs, coalesce(families, '') AS families, family, round(p, 6) AS probability, round(s, 6) AS similarity FROM docs LEFT JOIN per_row USING (rid)
+"""

@@ -54,4 +54,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_url_filter, op3_license_scan, op4_pii, op5_simhash, op6_language_id, op7_exact_dedup, op8_ann, op9_mix, op10_token_store)
 }
-SQL = {"op2_url_filter": urlfilter.SQL, "op7_exact_dedup": dedup.SQL}
+
+
+def __getattr__(name: str) -> dict[str, str]:
+    """`SQL`, made when asked for: the licence model is trained for its text."""
+    if name != "SQL":
+        raise AttributeError(name)
+    return {"op2_url_filter": urlfilter.SQL, "op3_license_scan": licenses.sql(), "op7_exact_dedup": dedup.SQL}

@@ -49,3 +49,15 @@ def test_query_is_brute_force(spark):
             assert x.probability == pytest.approx(p, abs=2e-6) and x.similarity == pytest.approx(s, abs=2e-6)
     assert c.scan(df.limit(0)).count() == 0
     assert c.scan(df.filter("doc_id = 3").union(df.filter("doc_id = 3"))).count() == 2
+
+
+def test_query_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    texts = ["Released under the MIT License.\nfoo", "a\nlicensed under cc by nc 4.0\nall rights reserved copyright\n", None, "", "the license plate was blue", "permission is hereby granted free of charge to any person obtaining a copy", "Licensed under the Apache License, Version 2.0."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = sorted(map(repr, map(tuple, licenses.scan(df).collect())))
+    assert got == sorted(map(repr, con.execute(licenses.sql()).fetchall()))
