@@ -59,5 +59,5 @@ def test_query_is_its_sql(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
-    got = sorted(map(repr, map(tuple, licenses.scan(df).collect())))
-    assert got == sorted(map(repr, con.execute(licenses.sql()).fetchall()))
+    got = sorted(map(repr, map(tuple, c.scan(df).collect())))
+    assert got == sorted(map(repr, con.execute(c.sql()).fetchall()))
