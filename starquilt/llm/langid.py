@@ -4,12 +4,15 @@ For each language a suffix automaton is built over a bounded sample of labelled
 the longest phrases that occur in a language's sample; the language that needs the fewest phrases for each character
 wins (ties: the smaller code). Letters are lower-cased, runs of anything else count as one space.
 
-The automata are dense transition tables side by side, so that one array step moves every block of a batch one
-character on in every language at once. Texts are cut into blocks of `BLOCK` characters, each parsed from the start,
+The automata keep only the transitions they have, as double arrays side by side, so that one array step moves every
+block of a batch one character on in every language at once. Every letter of the samples is a symbol of its own,
+whatever the script; only letters that no sample holds are one symbol, which fits nowhere. A letter that a language's
+sample lacks is a phrase of its own there. Texts are cut into blocks of `BLOCK` characters, each parsed from the start,
 so a long text takes no more steps than a short one; no character is left out.
 
 Bounds: for each language the `DOCS` documents of the least hash are sampled, up to `DOC_CHARS` characters of each and
-`CHARS` in all, fewer if `TABLE_BYTES` would not hold all tables. Only text and label are learnt from.
+`CHARS` in all, however many languages there are; the tables grow with their number, by about 2 MB each. Only text and
+label are learnt from.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled row everything is `und`;
 a null id is not held out and not learnt from; repeated rows are each predicted; other columns are ignored.
@@ -18,6 +21,7 @@ a null id is not held out and not learnt from; repeated rows are each predicted;
 from __future__ import annotations
 
 import functools
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +33,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .bpe import classes
 from .shared import map_pieces
 
-DOCS, DOC_CHARS, CHARS, TABLE_BYTES = 48, 1500, 24_000, 96 << 20
-BLOCK, ALPHABET = 256, 64
-SPACE, OTHER, PAD = 0, 1, 2
+DOCS, DOC_CHARS, CHARS = 48, 1500, 24_000
+BLOCK = 256
+SPACE, OTHER = 0, 1
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -50,8 +54,33 @@ def _lower() -> np.ndarray:
     return table
 
 
-def automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Dense transitions (state, symbol) of the suffix automaton, -1 where there is none; state 0 is the start."""
+class Table:
+    """Transitions as a double array: cell state + symbol holds the state it belongs to and the next one."""
+
+    def __init__(self, rows: list[dict[int, int]], size: int):
+        span = 64 + 3 * sum(map(len, rows))
+        full, used, base = bytearray(span + size), bytearray(span), [0] * len(rows)
+        draw = random.Random(1).random
+        # the start stays 0; of the others, those with many transitions find room first
+        for s in sorted(range(len(rows)), key=lambda s: (s > 0, -len(rows[s]))):
+            at = int(draw() * span) if s else 0
+            while used[at] or any(full[at + c] for c in rows[s]):
+                at = int(draw() * span)
+            base[s], used[at] = at, 1
+            for c in rows[s]:
+                full[at + c] = 1
+        self.cells = np.full((span + size, 2), -1, np.int32)
+        for s, row in enumerate(rows):
+            for c, to in row.items():
+                self.cells[base[s] + c] = base[s], base[to]
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        owner, to = self.cells[at[0] + at[1]].tolist()
+        return to if owner == at[0] else -1
+
+
+def automaton(symbols: list[int], size: int) -> Table:
+    """Transitions (state, symbol) of the suffix automaton, -1 where there is none; state 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -77,11 +106,7 @@ def automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((len(nxt), size), -1, np.int32)
-    for s, row in enumerate(nxt):
-        if row:
-            table[s, list(row)] = list(row.values())
-    return table
+    return Table(nxt, size)
 
 
 class Model:
@@ -89,31 +114,29 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        most = min(CHARS, TABLE_BYTES // (2 * 4 * ALPHABET * max(1, len(samples))))
         texts = {}
         for name in self.languages:
             parts = [letters_of(t[:DOC_CHARS]) for t in samples[name]]
-            texts[name] = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint32))])[:most] if parts else np.zeros(0, np.uint32)
+            texts[name] = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint32))])[:CHARS] if parts else np.zeros(0, np.uint32)
         every = np.concatenate([np.zeros(0, np.uint32), *texts.values()])
-        points, counts = np.unique(every[every > 0], return_counts=True)
-        common = points[np.argsort(-counts, kind="stable")][: ALPHABET - 3]
-        self.points = np.sort(common).astype(np.uint32)
+        self.points = np.unique(every[every > 0]).astype(np.uint32)
         tables, self.roots = [], []
         base = 0
         for name in self.languages:
-            t = automaton(self.symbols(texts[name]).tolist(), ALPHABET)
+            t = automaton(self.symbols(texts[name]).tolist(), 2 + len(self.points)).cells
             t[t >= 0] += base
-            t[:, PAD] = np.arange(base, base + len(t))
             self.roots.append(base)
             base += len(t)
             tables.append(t)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        #: The state after a letter that the sample lacks, and before the first one: nothing follows it.
+        self.dead = base
+        self.cells = np.concatenate([*tables, np.full((2 + len(self.points), 2), -1, np.int32)])
 
     @functools.cached_property
     def _symbol(self) -> np.ndarray:
-        table = np.full(0x110000, OTHER, np.uint8)
+        table = np.full(0x110000, OTHER, np.min_scalar_type(2 + len(self.points)))
         table[0] = SPACE
-        table[self.points] = np.arange(3, 3 + len(self.points))
+        table[self.points] = np.arange(2, 2 + len(self.points))
         return table
 
     def symbols(self, letters: np.ndarray) -> np.ndarray:
@@ -133,25 +156,32 @@ class Model:
             return total, sizes
         owner = np.repeat(np.arange(len(texts)), blocks)
         first = np.cumsum(blocks) - blocks
-        grid = np.full((int(blocks.sum()), BLOCK), PAD, np.uint8)
+        grid = np.zeros((int(blocks.sum()), BLOCK), self._symbol.dtype)
         flat = grid.reshape(-1)
         for s, at in zip(seqs, (first * BLOCK).tolist(), strict=True):
             flat[at : at + len(s)] = self._symbol[s]
-        grid = np.ascontiguousarray(grid.T)
-        roots = np.array(self.roots, np.int32)[:, None]
-        restart = self.table.reshape(-1, ALPHABET)[self.roots]
-        restart = np.where(restart < 0, roots, restart)
-        state = np.repeat(roots, grid.shape[1], axis=1)
-        count = np.ones(state.shape, np.int32)
-        for row in grid:
-            step = self.table.take(state * np.int32(ALPHABET) + row)
-            stuck = step < 0
-            count += stuck
-            lang, block = np.nonzero(stuck)
-            step[lang, block] = restart[lang, row[block]]
-            state = step
+        # long blocks first, so that those not yet at their end are the first ones at every step
+        length = np.minimum(BLOCK, sizes[owner] - BLOCK * (np.arange(len(owner)) - first[owner]))
+        order = np.argsort(-length, kind="stable")
+        live = np.searchsorted(-length[order], -np.arange(BLOCK), side="left").tolist()
+        grid = np.ascontiguousarray(grid[order].T)
+        cells = self.cells.view(np.int64).reshape(-1)  # owner and next state are read at once
+        roots = np.array(self.roots, np.int32)
+        state = np.full((grid.shape[1], len(roots)), self.dead, np.int32)
+        count = np.zeros(state.shape, np.int32)
+        for row, n in zip(grid, live, strict=True):
+            if not n:
+                break
+            now = state[:n]
+            got = cells.take(now + row[:n, None].astype(np.int32)).view(np.int32).reshape(n, -1, 2)
+            stuck = got[:, :, 0] != now
+            count[:n] += stuck
+            state[:n] = got[:, :, 1]
+            block, lang = np.nonzero(stuck)
+            again = self.cells[roots[lang] + row[block].astype(np.int32)]
+            state[block, lang] = np.where(again[:, 0] == roots[lang], again[:, 1], self.dead)
         for k in range(len(self.languages)):
-            total[k] = np.bincount(owner, weights=count[k], minlength=len(texts)).astype(np.int64)
+            total[k] = np.bincount(owner[order], weights=count[:, k], minlength=len(texts)).astype(np.int64)
         return total, sizes
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

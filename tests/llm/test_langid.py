@@ -76,3 +76,23 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(x.doc_id, x.lang_pred, x.score) for x in g.identify(df).collect()} == {(1, "und", 0.0), (2, "und", 0.0)}
     assert g.identify(df.limit(0)).count() == 0
+
+
+def test_scripts_of_many_letters_in_one_model():
+    """Every letter of the samples counts, in whatever script, and samples do not shrink with the number of languages."""
+    r = random.Random(11)
+    cjk = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    abc = {"de": "aeinrstäöüß", "fr": "aeinrstçêéè", "ru": "авеиностр", "uk": "авеінострїєґ", "el": "αεηικοστ", "zh": cjk[:2000], "ja": cjk[1000:], "ko": [chr(c) for c in range(0xAC00, 0xAC00 + 800)]}
+    abc |= {f"x{k}": r.sample("abcdefghijklmnopqrstuvwxyz", 9) for k in range(12)}
+    samples = {name: [words(r, letters, 300) for _ in range(20)] for name, letters in abc.items()}
+    m = g.Model(samples)
+    for texts in samples.values():
+        learnt = g.letters_of("\n".join(texts)[: g.CHARS // 2])
+        symbols = m.symbols(learnt)
+        assert g.OTHER not in symbols and len(np.unique(symbols)) == len(np.unique(learnt))
+    total, _ = m.phrases(["字 ж", "ж"])
+    assert total[m.languages.index("x0")].tolist() == [3, 1]  # a phrase for each letter unknown there, and one for the space
+    held = [(name, words(r, letters, 40)) for name, letters in abc.items() for _ in range(20)]
+    got = m.predict([t for _, t in held])
+    for name in abc:
+        assert np.mean([x[0] == name for x, (want, _) in zip(got, held, strict=True) if want == name]) >= 0.9, name
