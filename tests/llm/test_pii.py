@@ -83,3 +83,20 @@ def test_numbers_side_by_side():
     found = pii.find(text)
     assert [(s.kind, text[s.start : s.end], s.base) for s in found] == [("ip", "97.51.17.173", True), ("card", "4845168114407329", False), ("phone", "+1 (826) 555-4081", False)]
     assert pii.find("4845168114407329 4845168114407329")[1].start == 17
+
+
+def ibans(text):
+    return [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+
+
+def test_ibans_in_prose():
+    a, b = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for text in (f"IBAN {a} Thanks for", f"{a} A", f"x {a} 12", f"{a}.", f"{a}, Bitte", f"NR12 {a} Bitte"):
+        assert ibans(text) == [a], text
+    assert ibans(f"{b} Bitte {b} GB82 WEST 1234 5698 7654 32 Ende") == [b, b, "GB82 WEST 1234 5698 7654 32"]
+    assert ibans(f"{a} {a}") == [a, a] and ibans(f"{a}x") == ibans(f"{a}7") == ibans(f"x{a}") == ibans(f"{a}é") == []
+    # the registry's examples
+    for x in ("BR1800360305000010009795493C1", "KZ86125KZT5004100100", "UA213223130000026007233566001", "RS35260005601001611379", "QA58DOHB00001234567890ABCDEFG", "LC55HEMM000100010012001200023015", "AL47212110090000000235698741"):
+        assert ibans(f"pay {x} Now") == [x], x
+    assert ibans("DE88 " + b) == [b]  # a start that fails does not take the next one's place
+    pii.find("DE89 " * 60_000)
