@@ -2,9 +2,16 @@
 
 Base kinds: email, ip (parts up to 255), card (13 to 19 digits, Luhn) and phone (a plus, 9 to 15 digits); of each
 kind the leftmost matches that do not overlap, and matches that fail their check are dropped without a retry. Added
-spans: cards and phones that stand whole within a longer match that failed, next to other numbers; iban (length of the
-country, mod-97); and, only where a context word stands close before them, ssn and phone_local. A score starts from the kind's and rises with context words in the `NEAR` characters before the span;
-added kinds need `LEAST`, base kinds stay whatever their score.
+spans: cards and phones within a match that failed, next to other numbers; iban (length of the country, mod-97); and,
+only where a context word stands close before them, ssn, phone_local and cards written in small groups of digits. A
+score starts from the kind's and rises with context words in the `NEAR` characters before the span; added kinds need
+`LEAST`, base kinds stay whatever their score.
+
+Within a failed match, a card is a window of whole groups of digits, 13 to 19 in all, that begins with 2 to 6 and
+passes Luhn; of windows that overlap, those of the issuer's usual length come first. Without a context word its first
+group must have four digits and all but the last three, since one window of small numbers in ten passes Luhn. A phone
+begins at the plus and ends after a group: at the length of its country's numbers where that is fixed, or else after
+the last group within 15 digits, so that none of its own digits is left over.
 
 Every pattern is written so that the search takes time in proportion to the text: runs are entered at their first
 character only, and repeats that cannot help are possessive.
@@ -35,9 +42,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Whole numbers inside longer matches: a run of digits that begins as cards do, and a number after +1 or without gaps.
-_CARD_RUN = re.compile(r"(?<![0-9])[3-6][0-9]{12,18}(?![0-9])")
-_PHONE_RUN = re.compile(r"\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{9,15})(?![0-9])")
+_GROUP = re.compile(r"[0-9]+")
+#: Digits of a phone, country code included, where all numbers of the country have as many.
+PHONE_LENGTH = {"1": 11, "7": 11, "30": 12, "31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "52": 12, "61": 11, "65": 10, "86": 13, "90": 12, "91": 12, "351": 12, "420": 12, "421": 12}
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
@@ -117,14 +124,59 @@ def _digits(pattern: re.Pattern[str], text: str, least: int, most: int, check: b
             yield m.span()
 
 
-def _inside(pattern: re.Pattern[str], run: re.Pattern[str], text: str, most: int, check: bool) -> Iterator[tuple[int, int]]:
-    """Runs within the matches of `pattern` that `_digits` drops."""
+def _failed(pattern: re.Pattern[str], text: str, least: int, most: int, check: bool) -> Iterator[list[tuple[int, int, str]]]:
+    """Groups of digits (start, end, digits) of the matches of `pattern` that `_digits` drops."""
     for m in pattern.finditer(text):
-        d = _NOT_DIGITS.sub("", m[0])
-        if len(d) > most:
-            for x in run.finditer(text, m.start(), m.end()):
-                if (x.end() == len(text) or not "0" <= text[x.end()] <= "9") and (not check or luhn(x[0])):
-                    yield x.span()
+        groups = [(*x.span(), x[0]) for x in _GROUP.finditer(text, m.start(), m.end())]
+        d = "".join(g[2] for g in groups)
+        if len(d) > most or (check and len(d) >= least and not luhn(d)):
+            yield groups
+
+
+def _usual(digits: str) -> bool:
+    return len(digits) == (15 if digits[:2] in ("34", "37") else 14 if digits[:2] in ("30", "36", "38") else 16)
+
+
+def _cards_inside(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Cards within failed matches: those grouped as cards are, and others."""
+    found = []
+    for groups in _failed(_CARD, text, 13, 19, True):
+        for k, (start, _, head) in enumerate(groups):
+            if not "2" <= head[0] <= "6":
+                continue
+            digits, regular = "", len(head) >= 4
+            for _, end, more in groups[k : k + 19]:
+                digits += more
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and luhn(digits):
+                    found.append((not regular, not _usual(digits), start, end))
+                regular = regular and len(more) >= 3
+    plain: list[tuple[int, int]] = []
+    other: list[tuple[int, int]] = []
+    # a window is shorter than 40 characters, so those it may overlap begin in its own or a neighbouring forty
+    near: dict[int, list[tuple[int, int]]] = {}
+    for odd, _, a, b in sorted(found):
+        if not any(x < b and a < y for at in (a // 40 - 1, a // 40, a // 40 + 1) for x, y in near.get(at, ())):
+            near.setdefault(a // 40, []).append((a, b))
+            (other if odd else plain).append((a, b))
+    return plain, other
+
+
+def _phones_inside(text: str) -> Iterator[tuple[int, int]]:
+    for groups in _failed(_PHONE, text, 9, 15, False):
+        ends, n = {}, 0
+        for _, end, more in groups:
+            n += len(more)
+            if n > 15:
+                break
+            if n >= 9:
+                ends[n] = end
+        if ends:
+            digits = "".join(g[2] for g in groups[:4])[:3]
+            fixed = next((PHONE_LENGTH[digits[:k]] for k in (1, 2, 3) if digits[:k] in PHONE_LENGTH), 0)
+            whole = len(groups[0][2]) if len(groups[0][2]) >= 9 else fixed
+            yield groups[0][0] - 1, ends[whole if whole in ends else max(ends)]
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
@@ -155,10 +207,12 @@ def find(text: str | None) -> list[Span]:
         add("email", _emails(text), base=True)
     add("ip", _ips(text), base=True)
     add("card", _digits(_CARD, text, 13, 19, True), base=True)
-    add("card", _inside(_CARD, _CARD_RUN, text, 19, True))
+    plain, other = _cards_inside(text)
+    add("card", iter(plain))
+    add("card", iter(other), 1.0)  # with a context word
     if "+" in text:
         add("phone", _digits(_PHONE, text, 9, 15, False), base=True)
-        add("phone", _inside(_PHONE, _PHONE_RUN, text, 15, False))
+        add("phone", _phones_inside(text))
     add("iban", _ibans(text))
     add("ssn", ((m.start(), m.end()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"), LEAST)
     taken = [(s.start, s.end) for s in out]

@@ -100,3 +100,28 @@ def test_ibans_in_prose():
         assert ibans(f"pay {x} Now") == [x], x
     assert ibans("DE88 " + b) == [b]  # a start that fails does not take the next one's place
     pii.find("DE89 " * 60_000)
+
+
+def added(text, kind):
+    return [text[s.start : s.end] for s in pii.find(text) if s.kind == kind and not s.base]
+
+
+def test_cards_beside_numbers():
+    a, b, two = "4111 1111 1111 1111", "5500 0000 0000 0004", "2223003122003222"
+    for text in (f"{a} 12/26", "4111111111111111 123", f"{a} 123", "4111-1111-1111-1111 2024-05-01", f"2024 {a}", f"3782 822463 10005 {a[:4]} 77"):
+        assert luhn("3782 822463 10005".replace(" ", ""))
+        card = next(c for c in (a, a.replace(" ", ""), a.replace(" ", "-"), "3782 822463 10005") if c in text)
+        got = [text[s.start : s.end] for s in pii.find(text) if s.kind == "card"]
+        assert got == [card], text
+    assert added(f"{a} {b}", "card") == [a, b] and added(f"{two} {two}", "card") == [two, two]
+    assert added("pin 41 11 11 11 11 11 11 11 2024-05-01", "card") == []
+    assert added("visa 41 11 11 11 11 11 11 11 2024-05-01", "card") == ["41 11 11 11 11 11 11 11"]
+    assert added(f"9999 {a[:-1]}2 9999 {two[:-1]}3", "card") == []
+    for long in ("5 " * 100_000, f"{a} " * 10_000, "2345 " * 40_000):
+        pii.find(long)  # time in proportion to the text
+
+
+def test_phones_beside_numbers():
+    for phone, more in (("+44 20 7946 0958", " 10115"), ("+49 30 123456", " 12345678"), ("+33 1 23 45 67 89", " 75001"), ("+4915123456789", " 2024-05-01"), ("+1 415 555 0123", " 2024-05-01"), ("+44 (0)20 7946 0958", " 10115")):
+        assert added(phone + more, "phone") == [phone], phone
+    assert added("+1 2 3", "phone") == [] == added("+1234567890123456", "phone")
