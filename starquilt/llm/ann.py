@@ -5,11 +5,12 @@ one can never be asked for, and a vector shared by a third of all rows costs no
 trains the coarse centroids and, on what remains, one codebook for each slice of the dimensions; every entry is
 indexed. Lists are cut into cells of at most `CELL` entries and cells packed into shards of about `SHARD`; a query
 goes to the shards that hold lists it probes, once each. There a table of its products with the codebooks gives
-approximate scores of all entries of those lists, the best `SHORT` are scored again exactly, in double precision on the
-original vectors, and the best of all shards are merged.
+approximate scores of all entries of those lists, the best `SHORT` (`top + 1`, if more) are scored again exactly, in
+double precision on the original vectors, and the best of all shards are merged.
 
 How many lists to probe is measured: for `TRIAL` sampled queries the true neighbours are found by brute force over all
-rows, and the fewest lists are taken that hold `TARGET` of them.
+rows, and the fewest lists are taken that hold `TARGET` of them. A query whose lists hold fewer than `SHORT` entries
+(or `top + 1`, if that is more) goes on to further lists until they do.
 
 Bounds on what is broadcast or reaches the driver: `SAMPLE` training vectors, `MOST_LISTS` centroids, a number for each
 cell (`MOST_CELLS` + lists at most), and the trial's neighbours.
@@ -145,6 +146,12 @@ def probes_needed(quantiser: Quantiser, trial: np.ndarray, true: list[tuple[int,
     return int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1
 
 
+def probed_lists(order: np.ndarray, sizes: np.ndarray, probes: int, least: int) -> list[np.ndarray]:
+    """Of each query's order of lists, the first `probes`, and more while these hold fewer than `least` entries."""
+    enough = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+    return [row[:n] for row, n in zip(order, np.maximum(probes, enough).tolist(), strict=True)]
+
+
 def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, top: int = 20) -> DataFrame:
     """Neighbours of the rows whose id is divisible by `every`, among all rows: query_id, rank from 1, the id, score."""
     spark = df.sparkSession
@@ -196,14 +203,15 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
     asked = frozen(join_groups(asked, same, "_v", "_n").select("_id", "_rep"))
     reps = asked.select(F.col("_rep").alias("_id")).distinct()
     wanted = entries.join(reps, "_id", "left_semi").select("_id", "_v")
-    where = spark.sparkContext.broadcast((first, chunks, shard_of))
+    where = spark.sparkContext.broadcast((first, chunks, shard_of, sizes))
+    short_list = max(SHORT, top + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, chunks, shard_of = where.value
+        first, chunks, shard_of, sizes = where.value
         for b in batches:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
-                order = shared.value.probe_order(matrix(part.column(1), dim))[:, :probes]
+                order = probed_lists(shared.value.probe_order(matrix(part.column(1), dim)), sizes, probes, short_list)
                 shard, owner, probed = [], [], []
                 for k, lists in enumerate(order):
                     at = np.repeat(lists, chunks[lists])
@@ -246,7 +254,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                     for k, x in enumerate(some.column(6).to_pylist()):
                         probed[k, x] = True
                     rough = np.where(probed[:, own], quantiser.scores(q, own, codes), -np.inf)
-                    short = np.argpartition(-rough, SHORT, axis=1)[:, :SHORT] if len(ids) > SHORT else np.arange(len(ids))[None, :].repeat(len(names), 0)
+                    short = np.argpartition(-rough, short_list, axis=1)[:, :short_list] if len(ids) > short_list else np.arange(len(ids))[None, :].repeat(len(names), 0)
                     out: list[tuple[np.ndarray, np.ndarray]] = []
                     for k in range(len(names)):
                         near = short[k][rough[k, short[k]] > -np.inf]

@@ -56,3 +56,21 @@ def test_few_and_none(spark):
     df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
     assert collect(ann.search(df)) == brute(few, 2, 20, 20)
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_lists_go_on_until_they_hold_enough():
+    order = np.array([[0, 1, 2, 3], [3, 2, 1, 0], [1, 0, 3, 2]])
+    got = ann.probed_lists(order, np.array([100, 1, 0, 50]), 2, 60)
+    assert [x.tolist() for x in got] == [[0, 1], [3, 2, 1, 0], [1, 0]]
+    assert [x.tolist() for x in ann.probed_lists(order, np.array([1, 1, 1, 1]), 1, 60)] == order.tolist()
+
+
+def test_isolated_queries_get_all_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TARGET", 0.5)  # few lists for each query
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(20, 16))
+    v = np.r_[centres[r.integers(0, 20, 2900)] + 0.02 * r.normal(size=(2900, 16)), np.repeat(4 * r.normal(size=(20, 16)), 3, axis=0) + 0.01 * r.normal(size=(60, 16))]
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    got = collect(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=7))
+    want = brute(rows, 16, 7, 20)
+    assert got.keys() == want.keys() and {len(x) for x in got.values()} == {20}
