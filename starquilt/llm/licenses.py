@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier with a calibrated unknown class, confirmed against templates.
 
-Paragraphs are lines. One that holds none of the `STEMS`, without which no licence statement is written, is unknown at
-once; the others are scored by a multinomial logistic regression over the presence of word uni- and bigrams. The model
+Paragraphs are lines. One that holds none of the `STEMS` is unknown at once, though some licence statements hold none
+(`Released under CC BY-SA 4.0.`); the others are scored by a multinomial logistic regression over the presence of word uni- and bigrams. The model
 is trained on the driver from the statements below and invented background, with words dropped and surroundings added;
 on held-out examples a temperature is fitted and the least probability is set that keeps background unknown. A
-prediction counts only if the paragraph holds at least `CONFIRM` of the n-grams of some template of that family.
+prediction counts only if the paragraph holds at least `CONFIRM` of the n-grams of some template of that family. Short
+forms (`MIT License`, SPDX identifiers) hold fewer and are not found.
 
 The scan is made of DataFrame functions alone: n-grams are exploded only for paragraphs that pass the stems, meet the
 weights by a broadcast of the model (bounded by the templates' own n-grams), and are summed with partial aggregation.
