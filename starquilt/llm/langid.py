@@ -242,7 +242,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `df` that have a language: those judged `und` go."""
+    """The rows of `df` that have a language: those judged `und` go, or only those without a letter if none was learnt."""
     model = train(df, id_col, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -250,6 +250,8 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            yield b.filter(pa.array([g[0] != "und" for g in m.predict(b.column(at).to_pylist())], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            keep = [g[0] != "und" for g in m.predict(texts)] if m.languages else [bool(t) and bool(letters_of(t).any()) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return map_pieces(df, run, df.schema)

@@ -96,3 +96,8 @@ def test_scripts_of_many_letters_in_one_model():
     got = m.predict([t for _, t in held])
     for name in abc:
         assert np.mean([x[0] == name for x, (want, _) in zip(got, held, strict=True) if want == name]) >= 0.9, name
+
+
+def test_clean_rows_stay_when_nothing_was_learnt(spark):
+    df = spark.createDataFrame([(1, "abc", None), (2, None, None), (3, "12 !", None), (4, "", None), (None, "é", "aa")], "doc_id long, text string, lang string")
+    assert {x.text for x in g.keep_identified(df).collect()} == {"abc", "é"}
