@@ -1,14 +1,16 @@
-"""Near-duplicates by SimHash and a binary-trie self-join.
+"""Near-duplicates by SimHash and a self-join of binary tries.
 
 Fingerprint: the text with A-Z lower-cased is cut into words at space and 0x09-0x0D; XXH64 (seed 42) of each run of
 three words votes on 64 bits, and a bit is set if over half of the hashes set it. Fingerprints that differ in at most
 three bits are linked; a class is a connected component, named by its smallest id.
 
-Search: of four 16-bit blocks two linked fingerprints share one, so each distinct fingerprint goes to four buckets.
-A bucket of over `bucket` fingerprints is dealt anew by four 12-bit blocks of the other 48 bits, and once more by
-9-bit blocks: the same argument holds for what remains. Each bucket is a sorted array read as a binary trie. Pairs of
-nodes are walked down together from the root, the differing bits so far are carried along, and a pair over the budget
-is pruned. Pairs of nodes that already lie wholly in one class are pruned too, since they can add no link between
+Search: the self-join of a binary trie, walked from pairs of nodes. So that many tasks share it, four tries are kept,
+each beginning with another 16-bit block: two linked fingerprints share some block, so the pairs of different nodes at
+depth 16 need not be walked, and a task takes whole nodes at that depth with themselves. A node of over `bucket`
+fingerprints is split the same way by four 12-bit blocks of the other 48 bits, one of over 16 `bucket` once more by
+9-bit blocks, and one of over 64 `bucket` by 6-bit blocks: below that 21 bits remain, so that no task ever holds more
+than 2^21 fingerprints of a node together, whatever the input. Below, pairs of nodes are walked down together, the
+differing bits so far are carried along, and a pair over the budget is pruned. Pairs of nodes that already lie wholly in one class are pruned too, since they can add no link between
 classes; to make that happen early, neighbours in the sorted order are linked first. A bucket returns a spanning forest,
 never all pairs. Components come from rounds of contraction: each vertex hangs itself under its smallest neighbour,
 trees are flattened by pointer jumping, and edges are rewritten between roots until none is left.
@@ -71,13 +73,15 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     return map_pieces(df, run, StructType([*df.schema.fields, StructField(name, LongType())]))
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the classes of a and b in `label`, where every class is named by its least member."""
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Merge the classes of a and b in `label`, where every class is named by its least member; whether there was anything to merge."""
+    merged = False
     while len(a):
         x, y = label[a], label[b]
         go = x != y
         if not go.any():
-            return
+            break
+        merged = True
         a, b, x, y = a[go], b[go], x[go], y[go]
         low = np.minimum(x, y)
         np.minimum.at(label, x, low)
@@ -87,19 +91,38 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             if np.array_equal(up, label):
                 break
             label[:] = up
+    return merged
+
+
+class _Ones:
+    """Counts of set bits before a place, for each depth of the trie: a bit vector with running counts, an eighth and a sixteenth of a byte for each print."""
 
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.kept = prints, {}
 
-def trie_forest(prints: np.ndarray, starts: np.ndarray, budget: int = BUDGET, room: int = 1 << 17) -> np.ndarray:
+    def before(self, depth: int, at: np.ndarray) -> np.ndarray:
+        if depth not in self.kept:
+            bits = np.packbits((self.prints >> np.uint64(63 - depth)).astype(np.uint8) & 1, bitorder="little")
+            words = np.zeros(len(bits) // 8 + 2, "<u8")
+            words.view(np.uint8)[: len(bits)] = bits
+            self.kept[depth] = words, np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int32)[:-1]].astype(np.int32)
+        words, counts = self.kept[depth]
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return counts[word] + np.bitwise_count(words[word] & below)
+
+
+def trie_forest(prints: np.ndarray, starts: np.ndarray, budget: int = BUDGET, room: int = 1 << 15) -> np.ndarray:
     """Class labels (least index) under links within buckets.
 
-    `prints` are sorted and distinct in each bucket; bucket k is prints[starts[k]:starts[k + 1]]. At most about `room`
-    pairs of nodes are walked at a time, the deeper ones first.
+    `prints` are sorted and distinct in each bucket; bucket k is prints[starts[k]:starts[k + 1]]. At most `room` pairs
+    of nodes are walked at a time, the deeper ones first, so that under 3 `room` pairs of 17 bytes wait at each depth.
     """
     n = len(prints)
     label = np.arange(n)
     if n < 2:
         return label
-    bucket = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    bucket = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     for turn in range(0, 64, 8):  # true links among neighbours in eight sorted orders
         turned = prints if not turn else (prints << np.uint64(turn)) | (prints >> np.uint64(64 - turn))
         order = np.lexsort((turned, bucket))
@@ -108,37 +131,35 @@ def trie_forest(prints: np.ndarray, starts: np.ndarray, budget: int = BUDGET, ro
                 i, j = order[:-gap], order[gap:]
                 near = (bucket[i] == bucket[j]) & (np.bitwise_count(prints[i] ^ prints[j]) <= budget)
                 _unite(label, i[near], j[near])
-    ones: dict[int, np.ndarray] = {}
+    del bucket, turned, order
+    ones = _Ones(prints)
 
     def split(lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
-        if depth not in ones:
-            ones[depth] = np.r_[0, np.cumsum((prints >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)]
-        c = ones[depth]
-        return hi - (c[hi] - c[lo])
+        return hi - (ones.before(depth, hi) - ones.before(depth, lo))
 
-    lo, hi = starts[:-1].astype(np.int64), starts[1:].astype(np.int64)
+    lo, hi = starts[:-1].astype(np.int32), starts[1:].astype(np.int32)
     some = hi - lo > 1
     stack = [(0, lo[some], hi[some], lo[some], hi[some], np.zeros(int(some.sum()), np.int8))]
+    changes, merged = np.zeros(0, np.int32), True
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
-        changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
+        if len(alo) > room:
+            for k in range((len(alo) - 1) // room * room, -1, -room):
+                stack.append((depth, *(x[k : k + room].copy() for x in (alo, ahi, blo, bhi, err))))
+            continue
+        if merged:
+            changes, merged = np.r_[0, np.cumsum(label[1:] != label[:-1], dtype=np.int32)], False
         even = (changes[ahi - 1] == changes[alo]) & (changes[bhi - 1] == changes[blo]) & (label[alo] == label[blo])
         if even.any():
             alo, ahi, blo, bhi, err = (x[~even] for x in (alo, ahi, blo, bhi, err))
-        small = (ahi - alo) * (bhi - blo) <= 1
+        small = (ahi - alo == 1) & (bhi - blo == 1)
         if small.any():
             a, b = alo[small], blo[small]
             near = np.bitwise_count(prints[a] ^ prints[b]) <= budget
-            _unite(label, a[near], b[near])
+            merged = _unite(label, a[near], b[near])
             alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
-        if not len(alo):
-            continue
-        if len(alo) > room:
-            half = len(alo) // 2
-            stack += [(depth, *(x[half:] for x in (alo, ahi, blo, bhi, err))), (depth, *(x[:half] for x in (alo, ahi, blo, bhi, err)))]
-            continue
-        if depth == 64:
-            continue  # equal prints: distinct ones never get here
+        if not len(alo) or depth == 64:
+            continue  # at 64, equal prints: distinct ones never get here
         amid, bmid = split(alo, ahi, depth), split(blo, bhi, depth)
         own = alo == blo
         more = err + np.int8(1)
@@ -146,13 +167,15 @@ def trie_forest(prints: np.ndarray, starts: np.ndarray, budget: int = BUDGET, ro
         parts.append(tuple(x[~own] for x in (amid, ahi, blo, bmid, more)))
         a, b, c, d, e = (np.concatenate(x) for x in zip(*parts, strict=True))
         keep = (b > a) & (d > c) & (e <= budget) & ~((a == c) & (b - a == 1))
-        stack.append((depth + 1, *(x[keep] for x in (a, b, c, d, e))))
+        if keep.any():
+            stack.append((depth + 1, *(x[keep] for x in (a, b, c, d, e))))
     return label
 
 
-def _links(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], limit: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the buckets of a partition sorted by (key, print); whole buckets are taken together, about `limit` rows at a time."""
-    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
 
     def forest(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         prints = fps.view(np.uint64)
@@ -165,15 +188,17 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[
         return pa.RecordBatch.from_arrays([pa.array(signed[at]), pa.array(signed[label[at]])], names=["a", "b"])
 
     for b in batches:
-        held_key = np.r_[held_key, b.column(0).to_numpy()]
-        held_fp = np.r_[held_fp, b.column(1).to_numpy()]
-        if len(held_key) >= limit:
-            cut = int(np.searchsorted(held_key, held_key[-1]))
-            if cut:
-                yield forest(held_key[:cut], held_fp[:cut])
-                held_key, held_fp = held_key[cut:], held_fp[cut:]
-    if len(held_key):
-        yield forest(held_key, held_fp)
+        if not len(b):
+            continue
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        rows += len(b)
+        if rows >= limit and held[0][0][0] != held[-1][0][-1]:
+            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield forest(keys[:cut], fps[:cut])
+            held, rows = [(keys[cut:].copy(), fps[cut:].copy())], len(keys) - cut
+    if held:
+        yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _deal(rows: DataFrame, width: int, left: int, level: int) -> DataFrame:
@@ -196,8 +221,8 @@ def links(prints: DataFrame, bucket: int = 4096) -> DataFrame:
     """(a, b) of distinct fingerprints `fp`: enough true links to join all that are linked, at most one each for a fingerprint and bucket."""
     now = _deal(prints.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), 16, 64, 1)
     done: list[DataFrame] = []
-    for level, (width, left) in enumerate(((12, 48), (9, 36)), 2):
-        hot = frozen(now.groupBy("key").count().filter(F.col("count") > bucket).select("key"))
+    for level, (width, left, most) in enumerate(((12, 48, bucket), (9, 36, 16 * bucket), (6, 27, 64 * bucket)), 2):
+        hot = frozen(now.groupBy("key").count().filter(F.col("count") > most).select("key"))
         if not hot.take(1):
             break
         # under 4 n / bucket keys of one word each: Catalyst broadcasts them only if their measured size allows
@@ -207,8 +232,8 @@ def links(prints: DataFrame, bucket: int = 4096) -> DataFrame:
     rows = done[0]
     for d in done[1:]:
         rows = rows.unionByName(d)
-    # keys of three levels have 18, 32 and 43 bits: the level on top keeps them apart
-    rows = rows.select(F.col("key").bitwiseOR(F.shiftleft(F.col("level").cast("long"), 48)).alias("key"), "fp")
+    # keys of four levels have 18, 32, 43 and 51 bits: the level on top keeps them apart
+    rows = rows.select(F.col("key").bitwiseOR(F.shiftleft(F.col("level").cast("long"), 56)).alias("key"), "fp")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as small rows with much work are not to be coalesced
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
