@@ -68,6 +68,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row but for those that hold maps, which have no order."""
+    return F.xxhash64(*[c for c, f in zip(columns_of(df), df.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of `df` has it (in any case)."""
     have = {c.lower() for c in df.columns}

@@ -1,6 +1,9 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from starquilt.llm import dedup
 
 
@@ -31,7 +34,7 @@ def test_groups(spark):
 
 def test_tiny_filter_gives_the_same(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, keep_id string")
-    a, b = (dedup.exact_groups(df, max_bits=m).orderBy("doc_id").collect() for m in (dedup.SEGMENT, 1 << 22))
+    a, b = (dedup.exact_groups(df, bits=m).orderBy("doc_id").collect() for m in (0.1, 64))
     assert a == b
 
 
@@ -53,11 +56,26 @@ def test_dropping_keeps_whole_rows(spark):
     assert left.count() == len(brute(ROWS))
 
 
-def test_filter_never_misses_a_repeat(spark):
-    rows = [(hashlib.sha256(str(i % 400).encode()).digest(),) if i < 800 else (hashlib.sha256(f"u{i}".encode()).digest(),) for i in range(3000)]
-    df = spark.createDataFrame(rows, "d binary").repartition(6)
-    found = dedup.repeated_filter(df, "d", 3000, 1 << 20)
-    marked = dedup.with_maybe_repeated(df, "d", found, "maybe").collect()
-    twice = {d for (d,) in rows[:400]}
-    assert all(r.maybe for r in marked if bytes(r.d) in twice)
-    assert sum(r.maybe for r in marked if bytes(r.d) not in twice) < 100
+@pytest.mark.parametrize("n", [3000, 60_000])
+@pytest.mark.parametrize("page", [1 << 10, dedup.PAGE])
+def test_filter_never_misses_and_seldom_alarms(spark, n, page):
+    """At every size and in pages of any size: all repeats are found, and of the others under one in a hundred is taken for one."""
+    digest = lambda i: F.unhex(F.sha2(i.cast("string"), 256))
+    df = spark.range(n).select(digest(F.when(F.col("id") < n // 5, F.col("id") % (n // 10)).otherwise(F.col("id"))).alias("d"), (F.col("id") < n // 5).alias("again")).repartition(6)
+    found = dedup.repeated_filter(df, "d", n, page=page)
+    assert found.pages * found.page_bits >= 16 * n and found.page_bits <= page and (page > 1 << 10 or found.pages > 40)
+    marked = dedup.with_maybe_repeated(df, "d", found, "maybe")
+    assert marked.filter("again and not maybe").count() == 0
+    assert marked.filter("maybe and not again").count() < n // 100
+
+
+def test_layout_follows_the_rows():
+    for rows in (1, 10**5, 10**8, 10**11):
+        pages, bits = dedup.layout(rows, 16, dedup.PAGE, 12)
+        assert 16 * rows <= pages * bits <= max(64 * rows, 1 << 18) and bits <= dedup.PAGE
+
+
+def test_equal_id_and_text_keep_a_fixed_row(spark):
+    df = spark.createDataFrame([(1, "a", str(i)) for i in range(50)], "doc_id long, text string, x string")
+    kept = {tuple(dedup.drop_exact_copies(df.repartition(k)).collect()[0]) for k in (1, 3, 7)}
+    assert len(kept) == 1
