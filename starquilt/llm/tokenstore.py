@@ -55,14 +55,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class LibraryCoder:
-    """The tokenizers library behind a cache of chunks."""
+    """The tokenizers library behind a cache of chunks. Texts that hold an added token of the vocabulary, such as `<|endoftext|>`, go through the library whole."""
 
     def __init__(self, file: str, cache_size: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(added)))).search if added else lambda t: None
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -79,7 +80,8 @@ class LibraryCoder:
         if len(self.young) > self.cache_size:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        split = [_PIECE.findall(t) if t else [] for t in texts]
+        whole = {k: self.tokenizer.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if t and self.special(t)}
+        split = [_PIECE.findall(t) if t and k not in whole else [] for k, t in enumerate(texts)]
         long = []
         for c in set().union(*split).difference(young):
             got = old.get(c)
@@ -92,6 +94,8 @@ class LibraryCoder:
         out = [b"".join(map(young.__getitem__, s)) for s in split]
         for c in long:
             del young[c]
+        for k, ids in whole.items():
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
@@ -230,9 +234,24 @@ class Shard:
 
     def ids(self, row: int) -> bytes:
         """Ids of a row as little-endian unsigned 32-bit integers."""
-        a, b = int(self.begins[row]) * self.width, int(self.begins[row + 1]) * self.width
-        raw = self.file.read_at(b - a, a)
-        return raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+        return self.ids_of(np.array([row]))[0]
+
+    def ids_of(self, rows: np.ndarray, most: int = 8 << 20) -> list[bytes]:
+        """Ids of each of the rows: rows that follow one another are read at once, in pieces of about `most` bytes."""
+        begins, out, at = self.begins, [], 0
+        while at < len(rows):
+            # as many rows on as stand one after another and lie within `most` bytes
+            n = int(np.searchsorted(begins, begins[rows[at]] + most // self.width, "right")) - 1 - int(rows[at])
+            n = max(1, min(n, len(rows) - at))
+            broken = np.flatnonzero(rows[at : at + n] != rows[at] + np.arange(n))
+            n = int(broken[0]) if len(broken) else n
+            lo = int(begins[rows[at]])
+            raw = self.file.read_at((int(begins[rows[at] + n]) - lo) * self.width, lo * self.width)
+            data = raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+            cut = ((begins[rows[at] : rows[at] + n + 1] - lo) * 4).tolist()
+            out += [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            at += n
+        return out
 
 
 def write_store(df: DataFrame, tokenizer_file: str, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, end_id: int = END_ID) -> list[tuple[int, str, int, int]]:
@@ -278,7 +297,7 @@ def read_store(like: DataFrame, shards: list[tuple[int, str, int, int]], id_col:
                     found = shard.find(keys[~nulls])
                     # rows of one key follow its first one
                     row[~nulls] = found + (row[~nulls] - np.searchsorted(shard.keys[shard.nulls.sum() :], keys[~nulls]) - int(shard.nulls.sum()))
-                    data = [shard.ids(r) for r in row.tolist()]
+                    data = shard.ids_of(row)
                     cols = [
                         pa.array(keys, arrow, mask=nulls), pa.array(shard.begins[row] + base), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()),
                         *([pa.array(data, pa.binary())] if with_ids else []),

@@ -15,11 +15,10 @@ FILE = P.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     tok = Tokenizer.from_file(FILE)
-    tok.encode_special_tokens = True
     return lambda x: tok.encode(x or "", add_special_tokens=False).ids
 
 
-ODD = [None, "", " ", "  a", "a  \n b", "don't  stop\x85 now", "a b   c", "<|endoftext|> x", "日本 語", "\x1c\x1da \x1f b", "x" * 3000, "tab\t\tx \t y", "😀 😀", "trail  "]
+ODD = [None, "", " ", "  a", "a  \n b", "don't  stop\x85 now", "a b   c", "<|endoftext|> x", "a <|endoftext|> x<|endoftext|>", "<|endoftext|", "日本 語", "\x1c\x1da \x1f b", "x" * 3000, "tab\t\tx \t y", "😀 😀", "trail  "]
 
 
 def test_chunks_are_independent(library):
@@ -49,6 +48,26 @@ def test_shard_lookup(tmp_path, width):
     assert s.find(np.arange(10, 100_000)).max() == -1
 
 
+def test_rows_of_a_shard_are_read_together(tmp_path):
+    w = t.ShardWriter(f"{tmp_path}/s", 1, 2)
+    data = [struct.pack(f"<{n}I", *range(n)) for n in random.Random(1).choices([0, 1, 7, 300], k=500)]
+    w.add(list(range(500)), data)
+    w.close()
+    s = t.Shard(f"{tmp_path}/s")
+    reads = []
+
+    class Counted:
+        def read_at(self, n, at, file=s.file):
+            reads.append(n)
+            return file.read_at(n, at)
+
+    s.file = Counted()
+    assert s.ids_of(np.arange(500)) == data and len(reads) == 1
+    assert s.ids_of(np.arange(500), most=1000) == data and max(reads[1:]) <= 1000
+    mixed = np.array([3, 4, 5, 9, 2, 2, 499])
+    assert s.ids_of(mixed) == [data[k] for k in mixed]
+
+
 def test_query_and_odd_rows(spark, library):
     r = random.Random(4)
     rows = [(i * 3 - 50, " ".join(r.choices(["alpha", "Beta's", "γ", "12", "\n"], k=r.randint(0, 60))), 0) for i in range(300)]
