@@ -2,12 +2,11 @@
 
 Rules `(host, path) -> allow or block` lie in two files: the sorted 64-bit xxhash keys with the offsets of their
 records, and the records themselves (full rule string and verdict). The files are written once to the shared folder
-and handed to every executor through Spark's file distribution, where workers memory-map them. A url's candidates
-are every suffix of its host joined with every prefix of its path that has the length of some rule's path; their
-digests are looked up by one vectorised binary search for each batch, and a hit counts only if the stored string is
-the candidate's, so that colliding digests do no harm. The longest rule that fits wins.
-
-The index holds at most `max_rules` rules, a documented bound on what executors map; building a larger one raises.
+and handed to every executor through Spark's file distribution, where workers memory-map them: rules take disk there,
+not memory, however many they are. A url's candidates are the suffixes of its host that have as many labels as some
+rule's host, joined with the prefixes of its path that have the length of some rule's path; their digests are looked
+up by one vectorised binary search for each batch, and a hit counts only if the stored string is the candidate's, so
+that colliding digests do no harm. The longest rule that fits wins.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and fits no rule; where no rule fits, the
 verdict is allow (a blocklist lets pass what it does not hold); repeated urls are judged each; an empty table gives an
@@ -49,13 +48,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestIndex:
-    """The two memory-mapped files: `keys` holds n sorted digests, n offsets and the table of path lengths; `records` the strings."""
+    """The two memory-mapped files: `keys` holds n sorted digests, n offsets and the tables of path lengths and of label counts; `records` the strings."""
 
     def __init__(self, keys_file: str, records_file: str, hash_of: Callable[[bytes], int] = digest64):
         head = np.memmap(keys_file, "<u8", "r")
-        n, k = int(head[0]), int(head[1])
-        self.path_lengths = head[2 : 2 + k].astype(np.int64).tolist()
-        self.keys, self.offsets = head[2 + k : 2 + k + n], head[2 + k + n : 2 + k + 2 * n]
+        n, k, m = head[:3].astype(np.int64).tolist()
+        self.path_lengths, self.label_counts = head[3 : 3 + k].astype(np.int64).tolist(), head[3 + k : 3 + k + m].astype(np.int64).tolist()
+        self.keys, self.offsets = head[3 + k + m :][:n], head[3 + k + m :][n : 2 * n]
         self.records = np.memmap(records_file, np.uint8, "r")
         self.hash_of = hash_of
 
@@ -64,13 +63,13 @@ class DigestIndex:
         """The bytes of both files. Of rules given twice the later one counts."""
         last = {(h.translate(_LOWER), p): v for h, p, v in rules}
         rows = sorted((hash_of(f"{h}\0{p}".encode()), h, p, v) for (h, p), v in last.items())
-        lengths = sorted({len(p) for _, _, p, _ in rows})
+        lengths, labels = sorted({len(p) for _, _, p, _ in rows}), sorted({h.count(".") + 1 for _, h, _, _ in rows})
         body, offsets = bytearray(), []
         for _, h, p, v in rows:
             offsets.append(len(body))
             text = f"{h}\0{p}".encode()
             body += struct.pack("<I?", len(text), v == "block") + text
-        head = np.array([len(rows), len(lengths), *lengths, *(r[0] for r in rows), *offsets], "<u8")
+        head = np.array([len(rows), len(lengths), len(labels), *lengths, *labels, *(r[0] for r in rows), *offsets], "<u8")
         return head.tobytes(), bytes(body) or b"\0"
 
     def find(self, candidates: list[bytes]) -> list[bool | None]:
@@ -98,9 +97,13 @@ class DigestIndex:
         for i, (host, path) in enumerate(parts):
             if not host:
                 continue
-            labels = host.split(".")
-            for k in range(len(labels)):
-                name = ".".join(labels[k:])
+            at, have = len(host) + 1, 0  # where the last `have` labels begin, and how many they are
+            for want in self.label_counts:
+                while have < want and at > 0:
+                    at, have = host.rfind(".", 0, at - 1) + 1, have + 1
+                if have < want:
+                    break
+                name = host[at:]
                 for n in self.path_lengths:
                     if n <= len(path):
                         candidates.append((name, path[:n]))
@@ -112,11 +115,8 @@ class DigestIndex:
         return [(h, p, best[i][1] if i in best else None, "block" if i in best and best[i][2] else "allow") for i, (h, p) in enumerate(parts)]
 
 
-def publish(spark: SparkSession, rules: Iterable[tuple[str, str, str]], max_rules: int) -> tuple[str, str]:
+def publish(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> tuple[str, str]:
     """Write the index to the shared folder and have Spark copy it to the executors; the names under which they find it."""
-    rules = list(rules)
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; an index holds {max_rules} at most")
     names = []
     for kind, data in zip(("keys", "records"), DigestIndex.pack(rules), strict=True):
         path = new_path(spark, f"url-{kind}")
@@ -133,9 +133,9 @@ def publish(spark: SparkSession, rules: Iterable[tuple[str, str, str]], max_rule
 _OPEN: dict[str, DigestIndex] = {}
 
 
-def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", max_rules: int = 1 << 22) -> DataFrame:
+def judge_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: id, host, path, rule (`hostpath` of the longest that fits, or null), verdict."""
-    keys, records = publish(df.sparkSession, rules, max_rules)
+    keys, records = publish(df.sparkSession, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keys not in _OPEN:

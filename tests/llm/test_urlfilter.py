@@ -49,6 +49,18 @@ def test_colliding_digests_do_no_harm():
     assert index([]).judge(["http://net/"]) == [("net", "/", None, "allow")]
 
 
+def test_hosts_of_many_labels_and_rules_of_any_depth():
+    import time
+
+    deep = ("." .join(["a"] * 40), "/", "block")
+    found = index([*u.RULES, deep, ("", "/x", "block")])
+    urls = ["http://" + "a." * 50_000 + "net/x", "http://" + "a." * 39 + "a/", "http://" + "a." * 38 + "a/", "http://" + "." * 3000 + "/", "http:///x"]
+    began = time.perf_counter()
+    got = found.judge(urls)
+    assert time.perf_counter() - began < 1
+    assert [g[2] for g in got] == ["net/", deep[0] + "/", None, None, None]
+
+
 def test_query(spark):
     df = spark.createDataFrame([(i, x, "c") for i, x in enumerate([*URLS, *URLS])], "page_id long, url string, host string")
     got = sorted(u.judge_urls(df).collect())
