@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 import struct
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ from .shared import map_pieces
 L, N, O, APOSTROPHE1, APOSTROPHE2, W, LAST_SPACE, LAST_WHITE, END = range(9)
 START, IN_L, IN_N, IN_O, IN_W, AT_SPACE, AT_WHITE, ONE_MORE, TWO_MORE, CUT = range(10)
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Bytes of text that one scan takes at most (a longer text is scanned alone).
+#: Code points that one scan takes; a longer text is cut at the first run of white space from there on, where a piece
+#: always begins and nothing before it matters. A text without white space is scanned whole.
 SLICE = 1 << 20
+_RUN = re.compile("(?<=[^{0}])[{0}]".format("".join(map(re.escape, map(chr, WHITE)))))
 BLOCK = 128
 
 
@@ -146,6 +149,16 @@ def boundaries(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return begins[before, symbol]
 
 
+def cut(text: str) -> Iterator[str]:
+    """The text in parts of about SLICE, which are encoded independently of each other."""
+    at = 0
+    while at < len(text):
+        m = _RUN.search(text, at + SLICE)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 class Coder:
     """Encoder and decoder of one rank file."""
 
@@ -233,6 +246,11 @@ class Coder:
         size = 0
         for t in texts:
             t = t or ""
+            if len(t) > SLICE:
+                out += self._encode(group) if group else []
+                out.append(b"".join(self._encode([part])[0] for part in cut(t)))
+                group, size = [], 0
+                continue
             if group and size + len(t) > SLICE:
                 out += self._encode(group)
                 group, size = [], 0

@@ -49,6 +49,16 @@ def test_any_texts(texts):
     assert ids(c, texts) == [[i for p in split.findall(t) for i in c.merge(p.encode())] for t in texts]
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_long_texts_are_cut_where_nothing_is_lost(library, monkeypatch, size):
+    monkeypatch.setattr(bpe, "SLICE", size)
+    c = bpe.Coder(RANKS)
+    r = np.random.default_rng(size)
+    texts = ODD + ["".join(r.choice(list("aé \n\t'sx!1\x85日 "), 400)) for _ in range(40)]
+    assert ids(c, texts) == [library.encode_ordinary(t) for t in texts]
+    assert all("".join(bpe.cut(t)) == t for t in texts) and max(len(list(bpe.cut(t))) for t in texts) > 3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=49, max_size=300).map(lambda b: bytes(x % 5 + 97 for x in b)))
 def test_long_merge_is_the_short_merge(piece):
