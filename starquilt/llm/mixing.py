@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import columns_of, frozen, global_rank, hashed_unit, join_groups, map_pieces, unused
+from .shared import columns_of, frozen, global_rank, group_place, hashed_unit, join_groups, map_pieces, unused
 
 WEIGHTS = (3, 1, 2)
 
@@ -59,10 +59,10 @@ def targets(sizes: DataFrame, budget: float, most: float) -> DataFrame:
     return by.withColumn("_target", F.least(F.col("_cap"), F.col("_w") * F.lit(level))).select("_source", "_words", "_docs", "_target")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies and taken (copies times size)."""
-    sizes = with_words(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")), "_text", "_size").drop("_text")
-    ranked = frozen(global_rank(sizes.withColumn("_none", F.col("_source").isNull()), ["_none", "_source", "_size", "_id"], "_rank"))
+def decided(df: DataFrame, id_col: str, text_col: str, source_col: str, budget: float, most: float, seed: int) -> DataFrame:
+    """A row per document: _id, _source, _hash (of the text), _size, _words and _target of its source, _copies."""
+    sizes = with_words(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")), "_text", "_size").withColumn("_hash", F.xxhash64("_text")).drop("_text")
+    ranked = frozen(global_rank(sizes.withColumn("_none", F.col("_source").isNull()), ["_none", "_source", "_size", "_id", "_hash"], "_rank"))
     by = targets(ranked.select("_source", "_size"), budget, most)
     first = ranked.groupBy(F.col("_source").alias("_s")).agg(F.min("_rank").alias("_first"))
     by = by.join(first, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("_source", "_of")
@@ -70,17 +70,31 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = join_groups(ranked, by.withColumnRenamed("_of", "_source"), "_source", "_docs")
     at = F.col("_rank") - F.col("_first")
     crossed = F.floor(F.col("_rate") * (at + 1) + F.col("_offset")) - F.floor(F.col("_rate") * at + F.col("_offset"))
-    copies = F.least(crossed, F.ceil("_rate")).cast("long")
-    return rows.select(
+    return rows.select("_id", "_source", "_hash", "_size", "_words", "_target", F.least(crossed, F.ceil("_rate")).cast("long").alias("_copies"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies and taken (copies times size)."""
+    copies = F.col("_copies")
+    return decided(df, id_col, text_col, source_col, budget, most, seed).select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken")
     )
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: float) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
     """The rows of `df`, each as often as the mix takes it.
 
-    Decisions join by id; rows that share an id (ids are meant to be unique) also share the copies of the first of them.
+    Decisions join by id, source and hash of the text, which tell documents apart. Rows alike in all three share the
+    copies of their group evenly: they are numbered, and those numbered first take the ones that are left over.
     """
-    key, copies, i = unused(df, "_id", "_copies", "_i")
-    got = mix(df, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
-    return df.join(got, F.col(id_col).eqNullSafe(F.col(key))).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns_of(df))
+    key, of, text_hash, copies, n, i, place = unused(df, "_key", "_of", "_hash", "_copies", "_rows", "_i", "_place")
+    each = decided(df, id_col, text_col, source_col, budget, most, seed).groupBy(F.col("_id").alias(key), F.col("_source").alias(of), F.col("_hash").alias(text_hash)).agg(F.sum("_copies").alias(copies), F.count("*").alias(n))
+    each = frozen(each.filter(F.col(copies) > 0))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.col(text_col)) == F.col(text_hash))
+    rows = df.join(each.filter(F.col(n) == 1), same).select(*columns_of(df), F.col(copies))
+    alike = each.filter(F.col(n) > 1)
+    if alike.take(1):
+        many = group_place(df.join(alike, same), [key, of, text_hash], place)
+        share = F.floor(F.col(copies) / F.col(n)) + F.when(F.col(place) <= F.col(copies) % F.col(n), 1).otherwise(0)
+        rows = rows.union(many.select(*columns_of(df), share.cast("long").alias(copies)).filter(F.col(copies) > 0))
+    return rows.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*columns_of(df))

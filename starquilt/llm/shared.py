@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -128,6 +128,24 @@ def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_base") + at).drop("_part", "_base", "_at")
 
 
+def group_place(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add a long `name`, counting the rows of each group of equal keys from 1, in some order that is fixed once computed.
+
+    Rows are numbered within a group and partition, and moved up by what the partitions before hold of the group, so a
+    group of any size is spread over as many tasks as the partitions it came from.
+    """
+    part, row, base, own, *other = unused(df, "_part", "_row", "_base", "_own", *[f"_k{k}" for k in range(len(keys))])
+    rows = frozen(df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
+    held = rows.groupBy(part, *keys).agg(F.count("*").alias(own))  # a row for each group and partition
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col(part).alias(f"{part}_"), *[F.col(k).alias(o) for k, o in zip(keys, other, strict=True)], F.coalesce(F.sum(own).over(before), F.lit(0)).alias(base))
+    placed = rows.withColumn(own, F.row_number().over(Window.partitionBy(part, *keys).orderBy(row)))
+    same = F.col(part) == F.col(f"{part}_")
+    for k, o in zip(keys, other, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return placed.join(held, same).withColumn(name, (F.col(base) + F.col(own)).cast("long")).drop(part, f"{part}_", row, base, own, *other)
+
+
 def hashed_unit(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the columns alone."""
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

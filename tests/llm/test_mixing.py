@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from starquilt.llm import mixing
+from starquilt.llm.shared import group_place
 
 
 def brute_targets(words, budget=1.5, most=2.0):
@@ -62,6 +63,35 @@ def test_rows_are_repeated(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_keep_their_own_copies(spark):
+    r = random.Random(3)
+    rows = [(None if i % 3 else i // 30, " ".join("w" * r.randint(1, 9)), f"s{i % 2}", i) for i in range(600)] + [(7, "alike " * 11, "s0", i) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(5)
+    got = mixing.mix(df).collect()
+    want, have = defaultdict(int), defaultdict(int)
+    for x in got:
+        want[(x.doc_id, x.source, x.size)] += x.copies
+    out = mixing.mixed_rows(df).collect()
+    for x in out:
+        have[(x.doc_id, x.source, len(x.text.split()))] += 1
+    assert have == {k: v for k, v in want.items() if v}
+    each = defaultdict(int)
+    for x in out:
+        each[x.n if x.doc_id == 7 and x.text.startswith("alike") else None] += 1
+    each.pop(None)
+    alike = sum(x.copies for x in got if x.doc_id == 7 and x.size == 11)
+    assert sum(each.values()) == alike and max(each.values()) - min(each.values() if len(each) == 90 else [0]) <= 1
+
+
+def test_places_in_groups(spark):
+    rows = [(None, "a", i) for i in range(400)] + [(1, "a", i) for i in range(3)] + [(1, None, 9)]
+    df = spark.createDataFrame(rows, "k long, j string, _part int").repartition(6)
+    by = defaultdict(list)
+    for x in group_place(df, ["k", "j"], "place").collect():
+        by[(x.k, x.j)].append(x.place)
+    assert {k: sorted(v) for k, v in by.items()} == {(None, "a"): list(range(1, 401)), (1, "a"): [1, 2, 3], (1, None): [1]}
+
+
 def test_all_texts_empty(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert {(x.doc_id, x.size, x.taken, x.target) for x in mixing.mix(df).collect()} == {(1, 0, 0, 0.0), (2, 0, 0, 0.0)}
