@@ -8,11 +8,12 @@ The automata keep only the transitions they have, as double arrays side by side,
 block of a batch one character on in every language at once. Every letter of the samples is a symbol of its own,
 whatever the script; only letters that no sample holds are one symbol, which fits nowhere. A letter that a language's
 sample lacks is a phrase of its own there. Texts are cut into blocks of `BLOCK` characters, each parsed from the start,
-so a long text takes no more steps than a short one; no character is left out.
+so a long text takes no more steps than a short one; no character is left out, and a phrase that a border cuts counts
+twice, in every language alike.
 
-Bounds: for each language the `DOCS` documents of the least hash are sampled, up to `DOC_CHARS` characters of each and
-`CHARS` in all, however many languages there are; the tables grow with their number, by about 2 MB each. Only text and
-label are learnt from.
+Learning: of each language the `DOCS` labelled rows of the least hash among those of at most `LONGEST` code points are
+learnt whole; a language that has only longer ones gives a passage of `LONGEST` code points of each, which begins at a
+place drawn by hash. The tables grow with the number of languages, by a few MB each. Only text and label are learnt from.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with no labelled row everything is `und`;
 a null id is not held out and not learnt from; repeated rows are each predicted; other columns are ignored.
@@ -33,8 +34,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .bpe import classes
 from .shared import map_pieces
 
-DOCS, DOC_CHARS, CHARS = 48, 1500, 24_000
-BLOCK = 256
+DOCS, LONGEST = 48, 1000
+BLOCK = 2048
+#: A text belongs to no learnt language if even the best one needs over `FIT` times the phrases, and `FEW` more, that
+#: letters drawn at random from that language's would take on average: n log(letters) / log(length of the sample).
+FIT, FEW = 1.1, 4
 SPACE, OTHER = 0, 1
 
 
@@ -116,13 +120,15 @@ class Model:
         self.languages = sorted(samples)
         texts = {}
         for name in self.languages:
-            parts = [letters_of(t[:DOC_CHARS]) for t in samples[name]]
-            texts[name] = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint32))])[:CHARS] if parts else np.zeros(0, np.uint32)
+            parts = [letters_of(t) for t in samples[name]]
+            texts[name] = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.uint32))]) if parts else np.zeros(0, np.uint32)
         every = np.concatenate([np.zeros(0, np.uint32), *texts.values()])
         self.points = np.unique(every[every > 0]).astype(np.uint32)
         tables, self.roots = [], []
         base = 0
+        self.random_rate = []
         for name in self.languages:
+            self.random_rate.append(np.log(len(np.unique(texts[name])) + 1) / np.log(len(texts[name]) + 3))
             t = automaton(self.symbols(texts[name]).tolist(), 2 + len(self.points)).cells
             t[t >= 0] += base
             self.roots.append(base)
@@ -184,20 +190,25 @@ class Model:
             total[k] = np.bincount(owner[order], weights=count[:, k], minlength=len(texts)).astype(np.int64)
         return total, sizes
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text: score is the runner-up's share of the two best languages' phrases, from 0.5 to 1, doubled less one."""
-        out: list[tuple[str, float]] = []
+    def parsed(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
+        """Language, score and fit of each text.
+
+        The score is the difference of the two least numbers of phrases as a share of their sum; a single language is
+        held against a phrase for each half character. The fit is whether the text belongs to the language at all.
+        """
         for lo in range(0, len(texts), 256):
             total, sizes = self.phrases(texts[lo : lo + 256])
             for k, n in enumerate(sizes.tolist()):
                 if not n or not self.languages:
-                    out.append(("und", 0.0))
+                    yield "und", 0.0, bool(n)
                     continue
                 order = np.argsort(total[:, k], kind="stable")
                 best = int(total[order[0], k])
                 second = int(total[order[1], k]) if len(order) > 1 else 2 * n
-                out.append((self.languages[order[0]], max(0.0, (second - best) / (second + best))))
-        return out
+                yield self.languages[order[0]], max(0.0, (second - best) / (second + best)), best <= FIT * self.random_rate[order[0]] * n + FEW
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [x[:2] for x in self.parsed(texts)]
 
 
 def held_out(id_col: str):  # noqa: ANN201
@@ -205,17 +216,19 @@ def held_out(id_col: str):  # noqa: ANN201
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a bounded sample of the labelled rows that are not held out."""
+    """Learn from a bounded sample of the labelled rows that are not held out: `DOCS` texts or passages of at most `LONGEST` code points for each language are all that reaches the driver."""
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    by = Window.partitionBy("_lang").orderBy("_h", "_id")
-    picked = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_h")).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= DOCS)
-    ids = sorted({r["_id"] for r in picked.select("_id").collect()})
-    if not ids:
-        return Model({})
-    got = rows.filter(F.col(id_col).isin(ids)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.substring(F.col(text_col), 1, DOC_CHARS).alias("_text")).collect()
+    text, drawn = F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(id_col)
+    more = F.length(text) - F.lit(LONGEST)
+    passage = F.when(more <= 0, text).otherwise(F.substring(text, F.pmod(drawn, F.greatest(more, F.lit(1)).cast("long")).cast("int") + 1, F.lit(LONGEST)))
+    slim = rows.select(F.col(lang_col).alias("_lang"), (more > 0).alias("_long"), drawn.alias("_h"), F.col(id_col).alias("_id"), passage.alias("_text"))
+    order = Window.partitionBy("_lang").orderBy("_long", "_h", "_id", "_text")
+    got = slim.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= DOCS).orderBy("_lang", "_n").collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["_lang"], r["_id"], r["_text"] or "")):
-        samples.setdefault(r["_lang"], []).append(r["_text"] or "")
+    whole = {r["_lang"] for r in got if not r["_long"]}
+    for r in got:
+        if not (r["_long"] and r["_lang"] in whole):
+            samples.setdefault(r["_lang"], []).append(r["_text"])
     return Model(samples)
 
 
@@ -242,7 +255,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `df` that have a language: those judged `und` go, or only those without a letter if none was learnt."""
+    """The rows of `df` that have a language: a letter, and a predicted language that fits the text. Where none was learnt, a letter is enough."""
     model = train(df, id_col, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
@@ -251,7 +264,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         m = shared.value
         for b in batches:
             texts = b.column(at).to_pylist()
-            keep = [g[0] != "und" for g in m.predict(texts)] if m.languages else [bool(t) and bool(letters_of(t).any()) for t in texts]
+            keep = [fits for _, _, fits in m.parsed(texts)] if m.languages else [bool(t) and bool(letters_of(t).any()) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return map_pieces(df, run, df.schema)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from starquilt.llm import langid as g
 
@@ -23,30 +24,45 @@ def test_automaton_accepts_just_the_substrings():
         assert (state >= 0) == (tuple(q) in subs)
 
 
-def test_phrases_are_brute_force():
+def brute_phrases(text, samples, block):
+    """Greedy longest phrases by searching the sample itself; letters are what str.isalpha says of these test texts."""
+
+    def plain(t):
+        out = ""
+        for c in t:
+            c = c.lower() if c.isalpha() else "_"
+            out += c if c != "_" or not out.endswith("_") else ""
+        return out
+
+    ref = "".join(plain(t) + "|" for t in samples).replace("_|", "_").replace("|", "_")
+    text, count = plain(text), 0
+    for lo in range(0, len(text), block):
+        part, i = text[lo : lo + block], 0
+        while i < len(part):
+            n = 1
+            while i + n < len(part) and part[i : i + n + 1] in ref:
+                n += 1
+            i, count = i + n, count + 1
+    return count, len(text)
+
+
+@pytest.mark.parametrize("block", [50, 2048])
+def test_predictions_are_brute_force(monkeypatch, block):
+    monkeypatch.setattr(g, "BLOCK", block)
     r = random.Random(5)
-    samples = {"x": [words(r, "abcde", 60)], "y": [words(r, "cdefg", 60)]}
+    samples = {"x": [words(r, "abcde", 60), words(r, "abcé", 9)], "y": [words(r, "cdefg", 60)], "z": [words(r, "жшщab", 40)]}
     m = g.Model(samples)
-    texts = [words(r, "abcdefgh", 200), "a", "Zz9", words(r, "abc", 90).upper(), None, "12 3"]
+    texts = [words(r, "abcdefgh", 200), "a", "Zz9", words(r, "abc", 90).upper(), words(r, "жabщ", 50), "Ж" * 30, words(r, "cdefg", 900), "é, ж!", "字" * 40]
     total, sizes = m.phrases(texts)
-    for k, t in enumerate(texts):
-        symbols = m.symbols(g.letters_of(t or "")).tolist() if t and any(c.isalpha() for c in t) else []
-        assert sizes[k] == len(symbols)
-        for j, name in enumerate(m.languages):
-            ref = "".join(map(chr, m.symbols(g.letters_of(samples[name][0])).tolist()))
-            count = 0
-            for lo in range(0, len(symbols), g.BLOCK):
-                block = "".join(map(chr, symbols[lo : lo + g.BLOCK]))
-                i = 0
-                count += 1
-                while i < len(block):
-                    n = 1
-                    while i + n <= len(block) and block[i : i + n] in ref:
-                        n += 1
-                    i += max(1, n - 1)
-                    count += i < len(block)
-            # a character that the sample lacks is a phrase of its own
-            assert abs(total[j, k] - count) <= sum(chr(c) not in ref for c in symbols)
+    for k, (t, (lang, score), fits) in enumerate(zip(texts, m.predict(texts), [x[2] for x in m.parsed(texts)], strict=True)):
+        want = {name: brute_phrases(t, s, block) for name, s in samples.items()}
+        assert {name: (total[j, k], sizes[k]) for j, name in enumerate(m.languages)} == want
+        first, second = sorted((n, name) for name, (n, _) in want.items())[:2]
+        assert lang == first[1] and score == pytest.approx((second[0] - first[0]) / (second[0] + first[0]))
+        learnt = "".join(x.lower() + "_" for x in samples[lang]).replace(" ", "_")
+        assert fits == (first[0] <= g.FIT * np.log(len(set(learnt)) + 1) / np.log(len(learnt) + 3) * sizes[k] + g.FEW)
+    assert [x[2] for x in m.parsed([samples["x"][0], samples["z"][0], "字" * 40, None, "12"])] == [True, True, False, False, False]
+    assert m.predict([None, "12 3"]) == [("und", 0.0)] * 2
 
 
 def rows(n=400):
@@ -69,7 +85,8 @@ def test_held_out_accuracy_and_odd_rows(spark):
     held = [x for x in got if x.held_out and x.doc_id in true]
     assert np.mean([x.lang_pred == true[x.doc_id] for x in held]) > 0.97
     kept = g.keep_identified(df)
-    assert kept.columns == df.columns and kept.count() == len(data) + len(odd) - 3
+    # beside those without a letter, the text of 200,000 times one letter that no language has goes
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {x[0] for x in data + odd} - {1000, 1001, 1002, 1004}
 
 
 def test_nothing_to_learn_from(spark):
@@ -87,7 +104,7 @@ def test_scripts_of_many_letters_in_one_model():
     samples = {name: [words(r, letters, 300) for _ in range(20)] for name, letters in abc.items()}
     m = g.Model(samples)
     for texts in samples.values():
-        learnt = g.letters_of("\n".join(texts)[: g.CHARS // 2])
+        learnt = g.letters_of("\n".join(texts))
         symbols = m.symbols(learnt)
         assert g.OTHER not in symbols and len(np.unique(symbols)) == len(np.unique(learnt))
     total, _ = m.phrases(["字 ж", "ж"])
@@ -101,3 +118,30 @@ def test_scripts_of_many_letters_in_one_model():
 def test_clean_rows_stay_when_nothing_was_learnt(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None), (3, "12 !", None), (4, "", None), (None, "é", "aa")], "doc_id long, text string, lang string")
     assert {x.text for x in g.keep_identified(df).collect()} == {"abc", "é"}
+
+
+def test_learning_is_bounded_and_whole(spark):
+    """Texts of at most LONGEST are learnt whole; one id on many rows, and languages of long texts alone, stay bounded."""
+    r = random.Random(8)
+    data = [(1000, words(r, "abcde", 20), "aa") for _ in range(3000)] + [(i, words(r, "abcde", 3000), "aa") for i in range(50)] + [(i, words(r, "klmno", 2000), "bb") for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    seen = {}
+
+    class Spy(g.Model):
+        def __init__(self, samples):
+            seen.update(samples)
+            super().__init__(samples)
+
+    before, g.Model = g.Model, Spy
+    try:
+        g.train(df)
+        again = dict(seen)
+        g.train(df.repartition(7))
+    finally:
+        g.Model = before
+    assert seen == again
+    assert len(seen["aa"]) == g.DOCS and set(seen["aa"]) <= {t for i, t, _ in data if i == 1000}
+    assert len(seen["bb"]) == g.DOCS and all(len(t) == g.LONGEST and any(t in x for _, x, _ in data) for t in seen["bb"])
+    assert len({x.find(t) for t in seen["bb"] for _, x, lang in data if lang == "bb" and t in x}) > 20  # no prefixes
+    kept = g.keep_identified(df.union(spark.createDataFrame([(9, "字典" * 50, "aa"), (10, "字", None)], df.schema)))
+    assert kept.count() == len(data) + 1  # a text in no learnt language goes, one too short to tell stays
