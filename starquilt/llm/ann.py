@@ -5,12 +5,14 @@ one can never be asked for, and a vector shared by a third of all rows costs no
 trains the coarse centroids and, on what remains, one codebook for each slice of the dimensions; every entry is
 indexed. Lists are cut into cells of at most `CELL` entries and cells packed into shards of about `SHARD`; a query
 goes to the shards that hold lists it probes, once each. There a table of its products with the codebooks gives
-approximate scores of all entries of those lists, the best `SHORT` (`top + 1`, if more) are scored again exactly, in
-double precision on the original vectors, and the best of all shards are merged.
+approximate scores of all entries of those lists, the best of them are scored again exactly, in double precision on the
+original vectors, and the best of all shards are merged.
 
-How many lists to probe is measured: for `TRIAL` sampled queries the true neighbours are found by brute force over all
-rows, and the fewest lists are taken that hold `TARGET` of them. A query whose lists hold fewer than `SHORT` entries
-(or `top + 1`, if that is more) goes on to further lists until they do.
+How many lists to probe and how many entries to score again is measured: for `TRIAL` sampled queries, which are no
+training rows unless all rows are, the true neighbours are found by brute force over all entries. The fewest lists are
+taken that hold `TARGET` of them, and as many entries of each shard as put `TARGET` of them among the best approximate
+scores of all entries (`SHORT` at least, `top + 1` if that is more). A query whose lists hold fewer entries than that
+goes on to further lists until they do. So neither number has a bound that could cost recall where the data are hard.
 
 Bounds on what is broadcast or reaches the driver: `SAMPLE` training vectors, `MOST_LISTS` centroids, a number for each
 cell (`MOST_CELLS` + lists at most), and the trial's neighbours.
@@ -36,7 +38,7 @@ SAMPLE, MOST_LISTS, SLICES, CODES = 16_384, 4096, 16, 256
 CELL, SHARD, SHORT = 8192, 16_384, 160
 #: Cells beyond one for each list; with more entries than CELL times this, cells and shards grow instead.
 MOST_CELLS = 1 << 20
-TRIAL, TARGET = 128, 0.98
+TRIAL, TARGET = 128, 0.99
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -44,6 +46,10 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def codes_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
     c = x[r.choice(len(x), min(k, len(x)), replace=False)].astype(np.float32)
@@ -110,40 +116,64 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def true_lists(entries: DataFrame, trial: np.ndarray, trial_ids: np.ndarray, dim: int, top: int) -> list[tuple[int, int]]:
-    """(query number, list) of the true nearest entries of a bounded set of queries, by brute force over all entries."""
-    shared = entries.sparkSession.sparkContext.broadcast((trial, trial_ids))
+def true_neighbours(entries: DataFrame, quantiser: Quantiser, trial: np.ndarray, trial_ids: np.ndarray, dim: int, top: int) -> list[tuple[int, int, float]]:
+    """(query number, list, approximate score) of the true nearest entries of a bounded set of queries, by brute force over all entries."""
+    shared = entries.sparkSession.sparkContext.broadcast((quantiser, trial, trial_ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, own = shared.value
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        quantiser, q, own = shared.value
+        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(q)
         for b in batches:
-            ids, v, lists = b.column(0).to_numpy(), matrix(b.column(1), dim), b.column(2).to_numpy()
+            ids, v, lists, codes = b.column(0).to_numpy(), matrix(b.column(1), dim), b.column(2).to_numpy(), codes_of(b.column(3))
             for lo in range(0, len(ids), 4096):
                 i, w, li = ids[lo : lo + 4096], v[lo : lo + 4096].astype(np.float64), lists[lo : lo + 4096]
-                s = q.astype(np.float64) @ w.T
+                s, rough = q.astype(np.float64) @ w.T, quantiser.scores(q, li, codes[lo : lo + 4096])
                 for k in range(len(q)):
                     near = np.argpartition(-s[k], top)[: top + 1] if len(i) > top + 1 else np.arange(len(i))
                     near = near[i[near] != own[k]]
-                    a, c, d = (np.r_[x, y] for x, y in zip(best[k], (s[k][near], i[near], li[near]), strict=True))
-                    at = _top(a, c, top)
-                    best[k] = (a[at], c[at], d[at])
+                    new = (s[k][near], i[near], li[near], rough[k][near])
+                    every = tuple(np.r_[x, y] for x, y in zip(best[k], new, strict=True))
+                    at = _top(every[0], every[1], top)
+                    best[k] = tuple(x[at] for x in every)
         n = [len(x[0]) for x in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), n)), *(pa.array(np.concatenate([x[k] for x in best])) for k in (0, 1, 2))], names=["q", "s", "i", "l"])
+        columns = [np.concatenate([x[k] for x in best]) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), n)), pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int64)), pa.array(columns[3].astype(np.float64))], names=["q", "s", "i", "l", "r"])
 
-    got = entries.select("_id", "_v", F.col("_list").cast("long")).mapInArrow(run, "q long, s double, i long, l long")
+    got = entries.select("_id", "_v", "_list", "_code").mapInArrow(run, "q long, s double, i long, l long, r double")
     best = got.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "i"))).filter(F.col("n") <= top)
-    return [(r.q, r.l) for r in best.select("q", "l").collect()]
+    return [(r.q, r.l, r.r) for r in best.select("q", "l", "r").collect()]
+
+
+def approximate_ranks(entries: DataFrame, quantiser: Quantiser, trial: np.ndarray, true: list[tuple[int, int, float]]) -> np.ndarray:
+    """How many entries have a larger approximate score than each of the true neighbours, ascending; each task counts its own, the sums alone reach the driver."""
+    marks = [np.sort([r for k, _, r in true if k == q]) for q in range(len(trial))]
+    shared = entries.sparkSession.sparkContext.broadcast((quantiser, trial, marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quantiser, q, marks = shared.value
+        above = [np.zeros(len(m), np.int64) for m in marks]
+        for b in batches:
+            lists, codes = b.column(0).to_numpy(), codes_of(b.column(1))
+            for lo in range(0, len(lists), 4096):
+                rough = np.sort(quantiser.scores(q, lists[lo : lo + 4096], codes[lo : lo + 4096]).astype(np.float64), axis=1)
+                for k, m in enumerate(marks):
+                    above[k] += rough.shape[1] - np.searchsorted(rough[k], m, "right")
+        flat = np.concatenate([np.zeros(0, np.int64), *above])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["k", "n"])
+
+    got = entries.select("_list", "_code").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    return np.sort([r.n for r in got])
+
+
+def at_target(ascending: np.ndarray) -> int:
+    return int(ascending[min(len(ascending) - 1, int(np.ceil(TARGET * len(ascending))))]) if len(ascending) else 0
 
 
-def probes_needed(quantiser: Quantiser, trial: np.ndarray, true: list[tuple[int, int]]) -> int:
+def probes_needed(quantiser: Quantiser, trial: np.ndarray, true: list[tuple[int, int, float]]) -> int:
     order = quantiser.probe_order(trial)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), axis=1)
-    if not true:
-        return order.shape[1]
-    ranks = np.sort([place[q, li] for q, li in true])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))))]) + 1
+    return at_target(np.sort([place[q, li] for q, li, _ in true])) + 1 if true else order.shape[1]
 
 
 def probed_lists(order: np.ndarray, sizes: np.ndarray, probes: int, least: int) -> list[np.ndarray]:
@@ -180,9 +210,13 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*b.schema.names, "_list", "_code"])
 
     entries = frozen(entries.mapInArrow(encode, StructType([*entries.schema.fields, StructField("_list", IntegerType())]).add("_code", "binary")))
-    some = np.random.default_rng(5).permutation(len(sample))[:TRIAL]
-    trial = sample[some]
-    probes = probes_needed(quantiser, trial, true_lists(entries, trial, np.array([r[0] for r in drawn])[some], dim, top))
+    other = F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 4.0 * TRIAL / count) * (1 << 30)))
+    asking = sorted(entries.filter(~share & other).select("_id", "_v").limit(TRIAL).collect()) if count > len(drawn) else []
+    asking = asking or [drawn[k] for k in np.random.default_rng(5).permutation(len(drawn))[:TRIAL].tolist()]
+    trial = np.array([r[1] for r in asking], np.float64)
+    true = true_neighbours(entries, quantiser, trial, np.array([r[0] for r in asking]), dim, top)
+    probes = probes_needed(quantiser, trial, true)
+    short_list = max(SHORT, top + 1, at_target(approximate_ranks(entries, quantiser, trial, true)) + 1)
 
     # cells of lists, shards of cells
     sizes = np.zeros(len(quantiser.centroids), np.int64)
@@ -204,7 +238,6 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
     reps = asked.select(F.col("_rep").alias("_id")).distinct()
     wanted = entries.join(reps, "_id", "left_semi").select("_id", "_v")
     where = spark.sparkContext.broadcast((first, chunks, shard_of, sizes))
-    short_list = max(SHORT, top + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, chunks, shard_of, sizes = where.value
@@ -241,7 +274,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ev
                 if shard[lo] != now:
                     now, held, ready = shard[lo], [], None
                 if kind[lo] == 0:
-                    held.append((part.column(2).to_numpy(), matrix(part.column(3), dim), part.column(4).to_numpy(), np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(hi - lo, -1)))
+                    held.append((part.column(2).to_numpy(), matrix(part.column(3), dim), part.column(4).to_numpy(), codes_of(part.column(5))))
                     continue
                 if not held:
                     continue

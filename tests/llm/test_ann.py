@@ -37,7 +37,7 @@ def test_recall_and_scores(spark, rows, monkeypatch):
     want = brute(rows, 16, 20, 20)
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hits >= 0.9 * 20 * len(want)
+    assert hits >= 0.95 * 20 * len(want)
     by = {i: np.array(v, float) for i, v in rows}
     for q, near in got.items():
         assert all(s == pytest.approx(float(by[q] @ by[i]), abs=1e-9) for i, s in near)
@@ -74,3 +74,14 @@ def test_isolated_queries_get_all_their_rows(spark, monkeypatch):
     got = collect(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=7))
     want = brute(rows, 16, 7, 20)
     assert got.keys() == want.keys() and {len(x) for x in got.values()} == {20}
+
+
+def test_depth_follows_the_loss_of_the_codes(spark, rows, monkeypatch):
+    """Codebooks of four entries tell little: the trial then asks for more exact scores, and recall holds."""
+    monkeypatch.setattr(ann, "CODES", 4)
+    monkeypatch.setattr(ann, "SLICES", 4)
+    monkeypatch.setattr(ann, "SHORT", 1)
+    got = collect(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    want = brute(rows, 16, 20, 20)
+    each = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
+    assert np.mean(each) >= 0.95 and min(each) >= 0.5
