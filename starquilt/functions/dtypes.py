@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from numbers import Integral, Real
 from typing import Any
 
@@ -50,10 +51,46 @@ def check_sentinel(dtype: str, sentinel: Any = None) -> Any:
     return int(sentinel)
 
 
+_LOW = (1 << 32) - 1
+
+
+def _joined_words(high: Column, low: Column) -> Column:
+    """high * 2^32 + low modulo 2^64 as a signed long; shifts wrap where sums would raise."""
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def _words(x: Column) -> tuple[Column, Column]:
+    x = x.cast("bigint")
+    return F.shiftright(x, 32), x.bitwiseAND(F.lit(_LOW))
+
+
+def added(a: Column, b: Column, sign: int = 1) -> Column:
+    """a + b, or a - b, modulo 2^64."""
+    (ah, al), (bh, bl) = _words(a), _words(b)
+    return _joined_words(ah + bh, al + bl) if sign > 0 else _joined_words(ah - bh, al - bl)
+
+
+def multiplied(a: Column, b: Column) -> Column:
+    """a * b modulo 2^64: exact in decimals where the long product overflows."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    wide = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+    turn = F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    rest = F.pmod(wide, turn)
+    back = F.when(rest >= F.lit(Decimal(1 << 63)), rest - turn).otherwise(rest).cast("bigint")
+    return F.coalesce(F.try_multiply(a, b), back)
+
+
+def total(c: Column) -> Column:
+    """Aggregate: the sum modulo 2^64, as sums of two words that cannot overflow below 2^31 rows."""
+    high, low = _words(c)
+    return _joined_words(F.sum(high), F.sum(low))
+
+
 def wrapped(x: Column, dtype: str) -> Column:
-    """An integer result brought back into its type's range the way fixed-width arithmetic does; 64 bits are left as they are."""
+    """An integer result brought back into its type's range the way fixed-width arithmetic does; one of 64 bits is there already (see `added`, `multiplied`, `total`)."""
     bits = int(dtype.lstrip("uint"))
     if bits == 64:
         return x.cast("bigint")
     low = limits(dtype)[0]
-    return (F.pmod(x.cast("bigint") - F.lit(low), F.lit(1 << bits)) + F.lit(low)).cast(SPARK[dtype])
+    rest = F.pmod(x.cast("bigint"), F.lit(1 << bits))
+    return F.when(rest >= F.lit(low + (1 << bits)), rest - F.lit(1 << bits)).otherwise(rest).cast(SPARK[dtype])

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset a local one is made, in local mode alone (tests); on a cluster that raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="starquilt-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,14 +32,30 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add a long `name` from 0 in the order of `keys`, which must tell rows apart: ranges are sorted, counted, and offset by the counts before them."""
-    rows = frozen(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright("_at", 33)).count().collect())
+def _counted(rows: DataFrame, at: str) -> DataFrame:
+    """`rows`, whose `at` is their monotonically increasing id, with `_base`, the number of rows in the partitions before: a number for each partition is all that reaches the driver."""
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright(at, 33)).count().collect())
     base, total = [], 0
     for part, n in counts:
         base.append((part, total))
         total += n
-    offsets = df.sparkSession.createDataFrame(base or [(0, 0)], "_part bigint, _base bigint")
-    met = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")  # a row for each range
-    return met.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_at")
+    offsets = rows.sparkSession.createDataFrame(base or [(0, 0)], "_part bigint, _base bigint")
+    return rows.withColumn("_part", F.shiftright(at, 33)).join(F.broadcast(offsets), "_part").drop("_part")  # a row for each range
+
+
+def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add a long `name`, counting rows from 0 in the order of `keys` over the whole table.
+
+    A range partitioning sorts the rows; each partition counts its own, and prefix sums over the partitions make the
+    counts global. Rows that are equal in all keys are numbered in some order, which is fixed once computed.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = frozen(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    return _counted(rows, "_at").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_base", "_at")
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """n rows of `df` without sending them through one task."""
+    rows = frozen(df.withColumn("_at", F.monotonically_increasing_id()))
+    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return _counted(rows, "_at").filter(place < n).drop("_base", "_at")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dtypes import SPARK, is_float, is_integer, wrapped
+from ..functions.dtypes import SPARK, added, is_float, is_integer, multiplied, total, wrapped
 from ..functions.pixelization import UNSEEN
 from .skymap import Meta, SkyMap, all_pixels, is_constant, words_of
 
@@ -74,9 +74,10 @@ def apply(m: SkyMap, name: str, other: Any) -> SkyMap:
         if name == "pow":
             if other < 0:
                 raise ValueError("integers have no negative powers")
-            done = F.aggregate(F.array_repeat(big, int(other)), F.lit(1).cast("bigint"), lambda a, x: a * x)
+            done = F.aggregate(F.array_repeat(big, int(other)), F.lit(1).cast("bigint"), multiplied)
         else:
-            done = {"add": big + c, "sub": big - c, "mul": big * c}[name]
+            c = F.lit((int(other) + (1 << 63)) % (1 << 64) - (1 << 63)).cast("bigint")
+            done = multiplied(big, c) if name == "mul" else added(big, c, 1 if name == "add" else -1)
         return _with(m, wrapped(done, meta.dtype))
     done = {"add": v + c, "sub": v - c, "mul": v * c, "pow": F.pow(v, c), "truediv": divided(v.cast("double"), c.cast("double"))}[name]
     return _with(m, done.cast(SPARK[meta.dtype]))
@@ -167,18 +168,22 @@ def _joined(maps: Sequence[SkyMap], union: bool, fold: Callable[[list[Column]],
     return SkyMap(out.filter(meta.valid()), replace(meta, metadata=None), _coverage(maps, union))
 
 
+def _sum(maps: Sequence[SkyMap]) -> Callable[[str], Column]:
+    return (lambda c: total(F.col(c))) if maps and maps[0].is_integer_map else F.sum
+
+
 def sum_union(maps: Sequence[SkyMap]) -> SkyMap:
     """Sum where any map is valid."""
-    return _grouped(maps, True, F.sum)
+    return _grouped(maps, True, _sum(maps))
 
 
 def sum_intersection(maps: Sequence[SkyMap]) -> SkyMap:
     """Sum where all maps are valid."""
-    return _grouped(maps, False, F.sum)
+    return _grouped(maps, False, _sum(maps))
 
 
 def _product(c: str) -> Column:
-    return F.aggregate(F.collect_list(F.col(c).cast("bigint")), F.lit(1).cast("bigint"), lambda a, x: a * x)  # one value of each map at most
+    return F.aggregate(F.collect_list(F.col(c).cast("bigint")), F.lit(1).cast("bigint"), multiplied)  # one value of each map at most
 
 
 def product_union(maps: Sequence[SkyMap]) -> SkyMap:

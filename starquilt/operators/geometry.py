@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
+from ..functions.ranking import frozen, global_rank
 from ..functions.dtypes import is_integer, limits
 from .skymap import SkyMap, blocks
 
@@ -72,11 +73,18 @@ class Shape:
         return seen.filter(self.inside(v, 0.0 if last else px.largest_radius(nside))).select("pix")
 
     def get_pixel_ranges(self, spark: SparkSession, nside: int) -> DataFrame:
-        """Half-open ranges (start, end) of the same pixels. They are cut at the borders of pixels of nside / 64, which keeps the windows small."""
+        """The same pixels as half-open ranges (start, end), as long as they can be.
+
+        Runs are found within pixels of nside / 64; those that touch at a border are then joined: starts that are no
+        range's end and ends that are no range's start, each numbered in order, belong together.
+        """
         order = Window.partitionBy("_b").orderBy("pix")
         df = self.get_pixels(spark, nside).withColumn("_b", F.shiftright("pix", min(12, 2 * px.order_of(nside))))
         runs = df.withColumn("_r", F.col("pix") - F.row_number().over(order))
-        return runs.groupBy("_b", "_r").agg(F.min("pix").alias("start"), (F.max("pix") + 1).alias("end")).select("start", "end")
+        runs = frozen(runs.groupBy("_b", "_r").agg(F.min("pix").alias("start"), (F.max("pix") + 1).alias("end")).select("start", "end"))
+        starts = runs.select("start").join(runs.select(F.col("end").alias("start")), "start", "left_anti")
+        ends = runs.select("end").join(runs.select(F.col("start").alias("end")), "end", "left_anti")
+        return global_rank(starts, ["start"], "_n").join(global_rank(ends, ["end"], "_n"), "_n").select("start", "end")
 
     def get_map(self, spark: SparkSession, nside_coverage: int, nside_sparse: int, dtype: str, wide_mask_maxbits: int = 0) -> SkyMap:
         """A new map of the shape; its sentinel is 0 for integers."""

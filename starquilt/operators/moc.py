@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
-from .skymap import Meta, SkyMap
+from .skymap import Meta, SkyMap, expand_pixels
 
 
 def to_moc(m: SkyMap) -> DataFrame:
-    """(uniq) of the valid pixels: four complete children become their parent, level by level, but never coarser than the coverage."""
-    now, done = m.df.select("pix"), []
-    for order in range(px.order_of(m.nside_sparse), px.order_of(m.nside_coverage), -1):
-        whole = now.groupBy(F.shiftright("pix", 2).alias("up")).count().filter("count = 4").select("up")
-        left = now.withColumn("up", F.shiftright("pix", 2)).join(whole, "up", "left_anti").select("pix")
-        done.append(left.select((F.col("pix") + 4 * 4**order).alias("uniq")))
-        now = whole.withColumnRenamed("up", "pix")
-    done.append(now.select((F.col("pix") + 4 * 4 ** px.order_of(m.nside_coverage)).alias("uniq")))
-    return reduce(lambda a, b: a.union(b), done)
+    """(uniq) of the valid pixels: complete pixels of each order, never coarser than the coverage, that lie in no coarser complete one.
+
+    All orders are counted in one shuffle, before which each task adds up its own counts; a second one, over complete
+    pixels alone, finds those whose parent is complete.
+    """
+    finest, coarsest = px.order_of(m.nside_sparse), px.order_of(m.nside_coverage)
+    levels = F.array(*[F.struct(F.lit(o).alias("order"), F.shiftright("pix", 2 * (finest - o)).alias("pix")) for o in range(coarsest, finest + 1)])
+    counts = m.df.select(F.explode(levels).alias("_l")).groupBy("_l.order", "_l.pix").count()
+    whole = counts.filter(F.col("count") == F.element_at(F.array(*[F.lit(4 ** (finest - o)) for o in range(finest + 1)]), F.col("order") + 1)).select("order", "pix")
+    parents = whole.select((F.col("order") + 1).alias("order"), F.col("pix").alias("up"))
+    left = whole.withColumn("up", F.shiftright("pix", 2)).join(parents, ["order", "up"], "left_anti")
+    return left.select((F.col("pix") + _shifted(F.lit(4).cast("bigint"), 2 * F.col("order"))).alias("uniq"))
 
 
 def _shifted(x: Column, bits: Column) -> Column:
@@ -34,6 +35,7 @@ def from_moc(uniq: DataFrame, nside_coverage: int) -> SkyMap:
     rows = uniq.select(order.alias("order"), (F.col("uniq") - _shifted(F.lit(1).cast("bigint"), 2 + 2 * order)).alias("index"))
     finest = rows.agg(F.max("order")).first()[0]
     finest = px.order_of(nside_coverage) if finest is None else max(finest, px.order_of(nside_coverage))
-    k = (2 * (F.lit(finest) - F.col("order"))).cast("int")
-    df = rows.repartition("index").select(F.explode(F.sequence(_shifted(F.col("index"), k), _shifted(F.col("index") + 1, k) - 1)).alias("pix")).distinct()
+    least = rows.agg(F.min("order")).first()[0]
+    bits = (2 * (F.lit(finest) - F.col("order"))).cast("int")
+    df = expand_pixels(rows.select(F.col("index").alias("pix"), "order"), bits, 2 * (finest - (finest if least is None else least))).select("pix").distinct()
     return SkyMap(df, Meta(nside_coverage, 1 << finest, "bool", "bool", False))

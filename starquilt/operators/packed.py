@@ -12,26 +12,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skymap import SkyMap
+from .skymap import SkyMap, all_pixels
 
 BITS, BYTES = 1 << 15, 1 << 12
 
 
 def pack(m: SkyMap) -> DataFrame:
     """(bucket, bitmap) of the valid pixels of any map."""
-    at = F.col("pix").bitwiseAND(F.lit(BITS - 1))
-    return m.df.groupBy(F.shiftright("pix", 15).alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bitmap"))
+    return _packed(m.df)
 
 
 def unpack(packed: DataFrame, like: SkyMap) -> SkyMap:
     """The boolean map of bitmaps, with the coverage and resolution of another map."""
-    bytes_ = packed.select("bucket", F.hex("bitmap").alias("_h")).select("bucket", "_h", F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("_k"))
-    value = F.conv(F.substring(F.col("_h"), 2 * F.col("_k") + 1, F.lit(2)), 16, 10).cast("int")
-    some = bytes_.select("bucket", "_k", value.alias("_b")).filter("_b <> 0")
-    bits = some.select((F.shiftleft("bucket", 15) + 8 * F.col("_k")).alias("_base"), "_b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_i"))
-    rows = bits.filter(F.call_function("bit_get", "_b", "_i") == 1).select((F.col("_base") + F.col("_i")).alias("pix"))
     base = like.as_bit_packed_map()
-    return SkyMap(rows, base.meta, base.cov)
+    return SkyMap(pixels_of(packed), base.meta, base.cov)
 
 
 def union(packed: Sequence[DataFrame]) -> DataFrame:
@@ -43,6 +37,40 @@ def intersection(packed: Sequence[DataFrame]) -> DataFrame:
     return both.filter(F.bitmap_count("bitmap") > 0)
 
 
+def pixels_of(packed: DataFrame) -> DataFrame:
+    """(pix) of the bits that are set."""
+    bytes_ = packed.select("bucket", F.hex("bitmap").alias("_h")).select("bucket", "_h", F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("_k"))
+    value = F.conv(F.substring(F.col("_h"), 2 * F.col("_k") + 1, F.lit(2)), 16, 10).cast("int")
+    some = bytes_.select("bucket", "_k", value.alias("_b")).filter("_b <> 0")
+    bits = some.select((F.shiftleft("bucket", 15) + 8 * F.col("_k")).alias("_base"), "_b", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_i"))
+    return bits.filter(F.call_function("bit_get", "_b", "_i") == 1).select((F.col("_base") + F.col("_i")).alias("pix"))
+
+
+def _packed(pixels: DataFrame) -> DataFrame:
+    return pixels.groupBy(F.shiftright("pix", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("pix").bitwiseAND(F.lit(BITS - 1))).alias("bitmap"))
+
+
+def exclusive(packed: Sequence[DataFrame]) -> DataFrame:
+    """Bits set in an odd number of the bitmaps."""
+    every = reduce(lambda a, b: a.union(b), map(pixels_of, packed))
+    return _packed(every.groupBy("pix").count().filter("count % 2 = 1"))
+
+
+def inverted(packed: DataFrame, like: SkyMap) -> DataFrame:
+    """Bits of the covered blocks of `like` that are not set."""
+    return _packed(all_pixels(like.cov, like.meta.bits).join(pixels_of(packed), "pix", "left_anti"))
+
+
+def with_bits(packed: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The bits of (pix) set as well."""
+    return union([packed, _packed(pixels.select("pix"))])
+
+
+def without_bits(packed: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The bits of (pix) cleared; buckets that become empty go."""
+    return _packed(pixels_of(packed).join(pixels.select("pix"), "pix", "left_anti"))
+
+
 def _stacked(packed: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select("bucket", "bitmap") for p in packed])
 

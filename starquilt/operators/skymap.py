@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
-from ..functions.dtypes import SPARK, check_sentinel, is_float, is_integer, limits, wrapped
+from ..functions.dtypes import SPARK, added, check_sentinel, is_float, is_integer, limits, total, wrapped
 
 MAX_COVERAGE = 128
 
@@ -83,15 +83,33 @@ def pixels_frame(spark: SparkSession, pixels: DataFrame | Sequence[int]) -> Data
     return spark.createDataFrame([(int(p),) for p in pixels], "pix bigint")
 
 
+#: Bits by which one step writes out pixels below others: 4096 for each row at most.
+STEP_BITS = 12
+
+
 def expand_ranges(ranges: DataFrame, bits: int) -> DataFrame:
-    """Pixels of half-open ranges (start, end). Ranges are cut at block borders and dealt out before they are written out, so a long one is no single task's."""
-    last = F.col("end") - 1
-    cut = ranges.filter(F.col("end") > F.col("start")).select("start", "end", F.explode(F.sequence(F.shiftright("start", bits), F.shiftright(last, bits))).alias("_b"))
-    lo, hi = F.greatest("start", F.shiftleft("_b", bits)), F.least(last, F.shiftleft(F.col("_b") + 1, bits) - 1)
+    """Pixels of half-open ranges (start, end). Ranges are cut at block borders, and the parts at finer borders, each time dealt out before they are written out, so a long one is no single task's and no row holds a long array."""
     rest = [c for c in ranges.columns if c not in ("start", "end")]
-    if rest:
-        cut = ranges.filter(F.col("end") > F.col("start")).select("*", F.explode(F.sequence(F.shiftright("start", bits), F.shiftright(last, bits))).alias("_b"))
-    return cut.repartition("_b").select(*rest, F.explode(F.sequence(lo, hi)).alias("pix"))
+    df = ranges.filter(F.col("end") > F.col("start"))
+    # from the borders of blocks, or coarser ones for very long ranges, down to those of STEP_BITS
+    for k in range(max(bits, STEP_BITS) + STEP_BITS * 2, 0, -STEP_BITS):
+        df = df.select(*rest, "start", "end", F.explode(F.sequence(F.shiftright("start", k), F.shiftright(F.col("end") - 1, k))).alias("_b"))
+        df = df.select(*rest, F.greatest("start", F.shiftleft("_b", k)).alias("start"), F.least("end", F.shiftleft(F.col("_b") + 1, k)).alias("end"))
+        if k <= max(bits, STEP_BITS):
+            df = df.repartition("start")
+    return df.select(*rest, F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pix"))
+
+
+def expand_pixels(df: DataFrame, bits: Column | int, most: int) -> DataFrame:
+    """All pixels `bits` (at most `most`) below each `pix`, in steps that are dealt out."""
+    rest = [c for c in df.columns if c != "pix"]
+    df = df.withColumn("_bits", F.lit(bits) if isinstance(bits, int) else bits)
+    for _ in range(-(-most // STEP_BITS)):
+        now = F.least("_bits", F.lit(STEP_BITS))
+        base = F.call_function("shiftleft", F.col("pix"), now)
+        count = F.call_function("shiftleft", F.lit(1).cast("bigint"), now)
+        df = df.repartition("pix").select(*rest, (F.col("_bits") - now).alias("_bits"), F.explode(F.sequence(base, base + count - 1)).alias("pix"))
+    return df.drop("_bits")
 
 
 class SkyCoverage:
@@ -381,9 +399,12 @@ class SkyMap:
             raise IndexError("pixels are integers")
         return self.update_values_pix(pixels, value)
 
-    def update_values_pix(self, pixels: DataFrame | Sequence[int], values: Any = None, nest: bool = True, operation: str = "replace", check_unique: bool = True) -> SkyMap:
+    def update_values_pix(self, pixels: DataFrame | Sequence[int], values: Any = None, nest: bool = True, operation: str = "replace", check_unique: bool = True, order: str | None = None) -> SkyMap:
         """A map with the given pixels replaced, added to, or combined bit by bit.
 
+        Without `check_unique`, the last of several values for a pixel replaces the others: the last of the list, or of the
+        relation in the order of its column `order` (its order of rows, if none is named).
+
         `pixels` is a relation of `pix`, or of half-open ranges `start`, `end`, with value columns of its own or the one
         value `values`; or a local list, with one value or a list of them. None takes pixels out.
         """
@@ -407,11 +428,14 @@ class SkyMap:
                 pixels, values = spark.createDataFrame([(int(p), *(v if isinstance(v, (tuple, list)) else (v,))) for p, v in zip(pixels, values, strict=True)], f"pix bigint, {kinds}"), ...
             else:
                 pixels = pixels_frame(spark, pixels)
+        ordered = operation == "replace" and not check_unique and bool({"v", *m.values} & {*pixels.columns})
+        if ordered:
+            pixels = pixels.withColumn("_place", F.col(order) if order else F.monotonically_increasing_id())
         if "start" in pixels.columns:
             if not nest:
                 raise ValueError("ranges are of nested pixels")
             pixels = expand_ranges(pixels, m.bits)
-            check_unique = check_unique and "v" in pixels.columns  # ranges of one value may overlap
+            check_unique = check_unique and bool({"v", *m.values} & {*pixels.columns})  # ranges of one value may overlap
         if not nest:
             pixels = px.with_nest(pixels.withColumnRenamed("pix", "_ring_in"), self.nside_sparse, "_ring_in").drop("_ring_in")
         own = [c for c in (m.values or ["v"]) if c in pixels.columns]
@@ -419,6 +443,8 @@ class SkyMap:
             return SkyMap(self.df.join(pixels.select("pix").distinct(), "pix", "left_anti"), m, self.cov)
         if not own:
             pixels = pixels.select("pix", *self._constants(values))
+        if ordered:
+            pixels = pixels.groupBy("pix").agg(F.max_by(F.struct(*own), "_place").alias("_v")).select("pix", "_v.*")
         if operation == "replace" and check_unique and pixels.groupBy("pix").count().filter("count > 1").take(1):
             raise ValueError("pixels must be unique to be replaced")
         cov = self.cov.union(blocks(pixels, m.bits)).distinct()
@@ -452,7 +478,7 @@ class SkyMap:
             new = new.select("pix", *[F.col(c).cast(k).alias(c) for c, k in self._kinds().items()])
             new = new.dropDuplicates(["pix"])
             return self.df.join(new.select("pix"), "pix", "left_anti").select("pix", *m.values).unionByName(new)
-        how = {"add": F.sum, "or": F.bit_or, "and": F.bit_and}[operation]
+        how = {"add": F.sum if m.kind != "scalar" or not is_integer(m.dtype) else lambda c: total(F.col(c)), "or": F.bit_or, "and": F.bit_and}[operation]
         got = new.groupBy("pix").agg(*[how(c).alias(f"_{c}") for c in m.values])  # combined before they meet the map
         if operation == "and":
             out = self.df.join(got, "pix").select("pix", *[F.col(c).bitwiseAND(F.col(f"_{c}")).cast(k).alias(c) for c, k in self._kinds().items()])
@@ -463,13 +489,14 @@ class SkyMap:
             a, b = F.coalesce(c, F.lit(0)), F.coalesce(f"_{c}", F.lit(0))
             if operation == "or":
                 return a.cast("bigint").bitwiseOR(b.cast("bigint")).cast(k)
-            return wrapped(a + b, m.dtype) if is_integer(m.dtype) else (a + b).cast(k)
+            return wrapped(added(a, b), m.dtype) if is_integer(m.dtype) else (a + b).cast(k)
 
         return both.select("pix", *[joined(c, k).alias(c) for c, k in self._kinds().items()])
 
-    def update_values_pos(self, points: DataFrame, values: Any = None, a: str = "ra", b: str = "dec", lonlat: bool = True, operation: str = "replace", check_unique: bool = True) -> SkyMap:
+    def update_values_pos(self, points: DataFrame, values: Any = None, a: str = "ra", b: str = "dec", lonlat: bool = True, operation: str = "replace", check_unique: bool = True, order: str | None = None) -> SkyMap:
         at = px.with_pixel(points, self.nside_sparse, a, b, "pix", lonlat)
-        return self.update_values_pix(at.select("pix", *[c for c in (self.meta.values or ["v"]) if c in points.columns]), values, operation=operation, check_unique=check_unique)
+        keep = [c for c in (*(self.meta.values or ["v"]), *([order] if order else [])) if c in points.columns]
+        return self.update_values_pix(at.select("pix", *dict.fromkeys(keep)), values, operation=operation, check_unique=check_unique, order=order)
 
     def set_bits_pix(self, pixels: DataFrame | Sequence[int], bits: Sequence[int], nest: bool = True) -> SkyMap:
         if self.meta.kind != "wide":
@@ -625,7 +652,7 @@ def blocks(df: DataFrame, bits: int) -> DataFrame:
 
 def all_pixels(cov: DataFrame, bits: int) -> DataFrame:
     """Every pixel of the covered blocks."""
-    return cov.repartition("cov_pix").select(F.explode(F.sequence(F.shiftleft("cov_pix", bits), F.shiftleft(F.col("cov_pix") + 1, bits) - 1)).alias("pix"))
+    return expand_pixels(cov.select(F.col("cov_pix").alias("pix")), bits, bits)
 
 
 def is_constant(x: Any) -> bool:

@@ -42,6 +42,17 @@ _constant("wide_or_bits", "w", "SELECT pix, w0 | 18 AS w0, w1 | 64 AS w1 FROM w"
 _constant("wide_xor_bits", "w", "SELECT pix, xor(w0, 18) AS w0, xor(w1, 64) AS w1 FROM w WHERE xor(w0, 18) <> 0 OR xor(w1, 64) <> 0", lambda m: m ^ [1, 4, 70])
 
 
+def _modulo(x: str) -> str:
+    """What 64-bit arithmetic makes of the exact result x."""
+    turn = 1 << 64
+    return f"CAST((({x} + {turn // 2}) % {turn} + {turn}) % {turn} - {turn // 2} AS BIGINT)"
+
+
+_constant("const_mul_wrap", "big", f"SELECT pix, {_modulo('CAST(v AS HUGEINT) * 5')} AS v FROM big", lambda m: m * 5)
+_constant("const_add_wrap", "big", f"SELECT pix, {_modulo('CAST(v AS HUGEINT) + 9000000000000000000')} AS v FROM big", lambda m: m + 9000000000000000000)
+_constant("const_sub_wrap", "big", f"SELECT pix, {_modulo('CAST(v AS HUGEINT) - 9000000000000000000')} AS v FROM big", lambda m: m - 9000000000000000000)
+
+
 def _in_place(m: SkyMap) -> SkyMap:
     m += 5
     m *= 2
@@ -154,7 +165,7 @@ def _concatenate_or(t: Tables) -> DataFrame:
 
 @query("maps_equal", "SELECT true AS same, true AS differ")
 def _equal(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(t.a() == t.a(), t.a() != t.a((0, 60000)))], "same boolean, differ boolean")
+    return t.spark.createDataFrame([(t.a() == t.a(), t.a() != t.ap())], "same boolean, differ boolean")
 
 
 @query("cross_resolution_join", with_relations("SELECT a.pix, a.v, g.v AS coarse FROM a JOIN (SELECT pix >> 4 AS pix, max(v) AS v FROM b GROUP BY 1) g ON a.pix >> 4 = g.pix", "a", "b"))
@@ -163,6 +174,18 @@ def _cross(t: Tables) -> DataFrame:
     return t.a().df.withColumn("_up", F.shiftright("pix", 4)).join(coarse, "_up").select("pix", "v", "coarse")
 
 
+@query("sum_union_wrap", with_relations(f"SELECT pix, {_modulo('sum(CAST(v AS HUGEINT))')} AS v FROM (SELECT * FROM big UNION ALL SELECT pix, v - pix FROM big UNION ALL SELECT * FROM j UNION ALL SELECT * FROM i) GROUP BY 1", "big", "i", "j"))
+def _sum_wrap(t: Tables) -> DataFrame:
+    big = t.big()
+    less = SkyMap(big.df.select("pix", (F.col("v") - F.col("pix")).alias("v")), big.meta, big.cov)
+    return algebra.sum_union([big, less, t.j(), t.i()]).df
+
+
+@query("product_union_wrap", with_relations(f"SELECT coalesce(x.pix, j.pix) AS pix, {_modulo('coalesce(CAST(x.v AS HUGEINT), 1) * coalesce(j.v, 1)')} AS v FROM big x FULL JOIN j ON x.pix = j.pix", "big", "j"))
+def _product_wrap(t: Tables) -> DataFrame:
+    return algebra.product_union([t.big(), t.j()]).df
+
+
 # bitmaps ------------------------------------------------------------------------------------------------------------
 @query("bitmap_counts", with_relations("SELECT pix >> 15 AS bucket, count(*) AS n FROM ba GROUP BY 1", "ba"))
 def _bitmap_counts(t: Tables) -> DataFrame:
@@ -182,3 +205,28 @@ def _bitmap_intersection(t: Tables) -> DataFrame:
 @query("bitmap_lookup", with_relations("SELECT event_id, p.pix, ba.pix IS NOT NULL AS valid FROM pts p LEFT JOIN ba ON p.pix = ba.pix", "pts", "ba"))
 def _bitmap_lookup(t: Tables) -> DataFrame:
     return packed.contains(packed.pack(t.ba()), t.pts())
+
+
+@query("bitmap_xor", with_relations("SELECT pix FROM (SELECT pix FROM ba UNION ALL SELECT pix FROM bb) GROUP BY 1 HAVING count(*) = 1", "ba", "bb"))
+def _bitmap_xor(t: Tables) -> DataFrame:
+    return packed.pixels_of(packed.exclusive([packed.pack(t.ba()), packed.pack(t.bb())]))
+
+
+@query("bitmap_invert", with_relations("SELECT c.cov_pix * 256 + k.range AS pix FROM (SELECT DISTINCT pix >> 8 AS cov_pix FROM ba) c, range(256) k EXCEPT SELECT pix FROM ba", "ba"))
+def _bitmap_invert(t: Tables) -> DataFrame:
+    return packed.pixels_of(packed.inverted(packed.pack(t.ba()), t.ba()))
+
+
+@query("bitmap_set", with_relations("SELECT pix FROM ba UNION SELECT pix FROM pts", "ba", "pts"))
+def _bitmap_set(t: Tables) -> DataFrame:
+    return packed.pixels_of(packed.with_bits(packed.pack(t.ba()), t.pts()))
+
+
+@query("bitmap_clear", with_relations("SELECT pix FROM ba EXCEPT SELECT pix FROM bb", "ba", "bb"))
+def _bitmap_clear(t: Tables) -> DataFrame:
+    return packed.pixels_of(packed.without_bits(packed.pack(t.ba()), t.bb().df))
+
+
+@query("bitmap_unpack", with_relations("SELECT pix FROM m", "m"))
+def _bitmap_unpack(t: Tables) -> DataFrame:
+    return packed.unpack(packed.pack(t.m()), t.m()).df

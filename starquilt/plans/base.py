@@ -1,7 +1,8 @@
 """Maps derived from the driver's tables, and the same relations in SQL.
 
 Pixels come from integer keys by arithmetic that both engines do alike (nside 128, coverage 8). Prices count in whole
-cents, so that sums are exact and means are one division, whatever the order of rows.
+cents, so that sums are exact and means are one division, whatever the order of rows. Every relation is made of all rows
+of its table; those that cover a part of the sky alone (ap, qp, mp, ba, bb) fold all rows into fewer pixels.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.skymap import SkyMap
 
@@ -20,6 +20,7 @@ SHIFT = 8
 _A = "(l_orderkey * 7919 + l_linenumber * 104729) % 196608"
 _B = "(o_orderkey * 6151) % 196608"
 _M = "(l_orderkey * 6151) % 196608"
+_P = "(l_orderkey * 7919 + l_linenumber * 104729) % 60000"
 _W = "(l_partkey * 7919 + l_linenumber * 13) % 196608"
 _CENTS = "CAST(round({} * 100) AS BIGINT)"
 
@@ -34,15 +35,18 @@ RELATIONS: dict[str, str] = {
     "j": f"SELECT {_B} AS pix, max(o_custkey % 11) - 5 AS v FROM orders GROUP BY 1",
     "m": f"SELECT {_M} AS pix, bit_or(CAST(1 AS BIGINT) << CAST(l_suppkey % 12 AS INT)) AS v FROM lineitem GROUP BY 1",
     "n": f"SELECT {_B} AS pix, bit_or(CAST(1 AS BIGINT) << CAST(o_custkey % 12 AS INT)) AS v FROM orders GROUP BY 1",
-    "w": f"SELECT {_W} AS pix, bit_or(CASE WHEN l_suppkey % 100 < 60 THEN CAST(1 AS BIGINT) << CAST(l_suppkey % 100 AS INT) ELSE 0 END) AS w0, bit_or(CASE WHEN l_suppkey % 100 >= 64 THEN CAST(1 AS BIGINT) << CAST(l_suppkey % 100 - 64 AS INT) ELSE 0 END) AS w1 FROM lineitem GROUP BY 1",
+    "w": f"SELECT {_W} AS pix, bit_or(CASE WHEN l_suppkey % 96 < 60 THEN CAST(1 AS BIGINT) << CAST(l_suppkey % 96 AS INT) ELSE 0 END) AS w0, bit_or(CASE WHEN l_suppkey % 96 >= 60 THEN CAST(1 AS BIGINT) << CAST(l_suppkey % 96 - 60 AS INT) ELSE 0 END) AS w1 FROM lineitem GROUP BY 1",
     "r": f"SELECT {_A} AS pix, CAST(max({_CENTS.format('l_extendedprice')}) AS DOUBLE) AS price, CAST(max(l_linenumber) AS INT) AS line FROM lineitem GROUP BY 1",
-    "ba": f"SELECT DISTINCT {_A} AS pix FROM lineitem WHERE {_A} < 60000",
-    "bb": f"SELECT DISTINCT {_B} AS pix FROM orders WHERE {_B} BETWEEN 30000 AND 90000",
+    "ap": f"SELECT {_P} AS pix, CAST(max({_CENTS.format('l_extendedprice')}) AS DOUBLE) AS v FROM lineitem GROUP BY 1",
+    "qp": f"SELECT {_P} AS pix, max(l_quantity) AS v FROM lineitem GROUP BY 1",
+    "mp": "SELECT (l_orderkey * 6151) % 2048 AS pix, bit_or(CAST(1 AS BIGINT) << CAST(l_suppkey % 12 AS INT)) | 4096 AS v FROM lineitem GROUP BY 1",
+    "big": f"SELECT {_B} AS pix, max((o_orderkey % 1000 - 500) * CAST(9007199254740993 AS BIGINT) + o_custkey) AS v FROM orders GROUP BY 1",
+    "ba": f"SELECT DISTINCT {_P} AS pix FROM lineitem",
+    "bb": "SELECT DISTINCT 30000 + (o_orderkey * 6151) % 60001 AS pix FROM orders",
     "spots": "SELECT event_id, ((event_id * 137508) % 360000) / 1000.0 AS ra, ((event_id * 7919) % 100000) / 50000.0 - 1 AS z FROM events",
     "pts": "SELECT event_id, (event_id * 7919) % 196608 AS pix FROM events",
 }
 RELATIONS["spots"] = RELATIONS["spots"].replace("/ 1000.0", "/ CAST(1000 AS DOUBLE)").replace("/ 50000.0", "/ CAST(50000 AS DOUBLE)")
-RELATIONS["w"] = RELATIONS["w"].replace(" FROM lineitem GROUP BY 1", " FROM lineitem WHERE l_suppkey % 100 NOT BETWEEN 60 AND 63 GROUP BY 1")
 
 
 def with_relations(body: str, *names: str, more: str = "") -> str:
@@ -64,14 +68,23 @@ class Tables:
         """A relation's SQL over its table."""
         return self.spark.sql(RELATIONS[name].replace(f"FROM {table}", "FROM {t}"), t=self.table(table))
 
-    def _map(self, name: str, table: str, dtype: object, band: tuple[int, int] | None = None, **how: object) -> SkyMap:
-        df = self.relation(name, table)
-        if band:
-            df = df.filter((F.col("pix") >= band[0]) & (F.col("pix") < band[1]))
-        return SkyMap.from_frame(df, COVERAGE, NSIDE, dtype, **how)
+    def _map(self, name: str, table: str, dtype: object, coverage: int = COVERAGE, **how: object) -> SkyMap:
+        return SkyMap.from_frame(self.relation(name, table), coverage, NSIDE, dtype, **how)
 
-    def a(self, band: tuple[int, int] | None = None) -> SkyMap:
-        return self._map("a", "lineitem", "float64", band)
+    def a(self, coverage: int = COVERAGE) -> SkyMap:
+        return self._map("a", "lineitem", "float64", coverage)
+
+    def ap(self) -> SkyMap:
+        return self._map("ap", "lineitem", "float64")
+
+    def qp(self) -> SkyMap:
+        return self._map("qp", "lineitem", "float64")
+
+    def mp(self) -> SkyMap:
+        return self._map("mp", "lineitem", "int64", sentinel=0)
+
+    def big(self) -> SkyMap:
+        return self._map("big", "orders", "int64")
 
     def b(self) -> SkyMap:
         return self._map("b", "orders", "float64")
@@ -79,8 +92,8 @@ class Tables:
     def c(self) -> SkyMap:
         return self._map("c", "lineitem", "float64")
 
-    def q(self, band: tuple[int, int] | None = None) -> SkyMap:
-        return self._map("q", "lineitem", "float64", band)
+    def q(self) -> SkyMap:
+        return self._map("q", "lineitem", "float64")
 
     def weight(self) -> SkyMap:
         return self._map("weight", "lineitem", "float64")

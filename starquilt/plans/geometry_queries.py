@@ -160,12 +160,12 @@ def _judged(m: SkyMap, points: DataFrame) -> DataFrame:
 @query("make_uniform_randoms_fast", "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS inside")
 def _fast(t: Tables) -> DataFrame:
     """How many of 5000 positions lie within the map: all."""
-    return _judged(t.a((0, 60000)), sampling.make_uniform_randoms_fast(t.a((0, 60000)), 5000, seed=3))
+    return _judged(t.ap(), sampling.make_uniform_randoms_fast(t.ap(), 5000, seed=3))
 
 
 @query("make_uniform_randoms", "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS inside")
 def _slow(t: Tables) -> DataFrame:
-    return _judged(t.a((0, 60000)), sampling.make_uniform_randoms(t.a((0, 60000)), 5000, seed=3))
+    return _judged(t.ap(), sampling.make_uniform_randoms(t.ap(), 5000, seed=3))
 
 
 # multi-order coverage -----------------------------------------------------------------------------------------------
@@ -194,3 +194,11 @@ def _to_moc(t: Tables) -> DataFrame:
 @query("read_moc", with_relations("SELECT pix FROM blocky", "ba", more=_BLOCKY))
 def _from_moc(t: Tables) -> DataFrame:
     return moc.from_moc(moc.to_moc(_blocky(t)), COVERAGE).df
+
+
+@query("read_moc_mixed_orders", with_relations("SELECT DISTINCT c.pix * 4096 + k.range AS pix FROM (SELECT DISTINCT pix % 3 AS pix FROM ba) c, range(4096) k UNION SELECT pix FROM ba UNION SELECT (pix >> 4) * 16 + k.range FROM ba, range(16) k", "ba"))
+def _mixed(t: Tables) -> DataFrame:
+    """Cells of orders 1, 5 and 7 that overlap."""
+    ba = t.ba().df
+    cells = ba.select((F.col("pix") % 3 + 16).alias("uniq")).union(ba.select(F.col("pix") + 4 * 4**7)).union(ba.select(F.shiftright("pix", 4) + 4 * 4**5))
+    return moc.from_moc(cells.distinct(), COVERAGE).df

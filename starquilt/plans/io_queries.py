@@ -56,10 +56,10 @@ def _coverage(t: Tables) -> DataFrame:
     return read_coverage(t.spark, path).df
 
 
-@query("concatenate_files", with_relations("SELECT coalesce(b.pix, a.pix) AS pix, coalesce(b.v, a.v) AS v FROM (SELECT * FROM a WHERE pix < 60000) a FULL JOIN b ON a.pix = b.pix", "a", "b"))
+@query("concatenate_files", with_relations("SELECT coalesce(b.pix, a.pix) AS pix, coalesce(b.v, a.v) AS v FROM ap a FULL JOIN b ON a.pix = b.pix", "ap", "b"))
 def _concatenate(t: Tables) -> DataFrame:
     paths = [new_path(t.spark, "part") for _ in range(2)]
-    write_map(t.a((0, 60000)), paths[0])
+    write_map(t.ap(), paths[0])
     write_map(t.b(), paths[1])
     out = new_path(t.spark, "joined")
     concatenate_files(t.spark, paths, out)

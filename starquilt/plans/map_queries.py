@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
+from ..operators.algebra import sum_union
 from ..operators.resolution import degrade_report, rollup
 from ..operators.skymap import SkyCoverage, SkyMap
 from .base import COVERAGE, N_PIX, NSIDE, Tables, every_pixel, query, sql_pixel, sql_place, with_relations
@@ -30,10 +31,10 @@ def _make_empty(t: Tables) -> DataFrame:
     return m.df.agg(F.count("*").alias("n_valid")).crossJoin(m.cov.agg(F.count("*").alias("n_covered")))  # a row each
 
 
-@query("make_empty_like", with_relations("SELECT pix, 7 AS v FROM a WHERE pix < 2000", "a"))
+@query("make_empty_like", with_relations("SELECT pix, 7 AS v FROM a", "a"))
 def _make_empty_like(t: Tables) -> DataFrame:
     a = t.a()
-    return SkyMap.make_empty_like(a, dtype="int32", sentinel=-1).update_values_pix(a.df.filter("pix < 2000").select("pix"), 7).df
+    return SkyMap.make_empty_like(a, dtype="int32", sentinel=-1).update_values_pix(a.df.select("pix"), 7).df
 
 
 @query("convert_healpix_map", with_relations("SELECT pix, v FROM b", "b"))
@@ -62,14 +63,14 @@ def _dense_coarse(t: Tables) -> DataFrame:
     return t.b().generate_healpix_map(NSIDE // 4, "max")
 
 
-@query("coverage_pixels", with_relations("SELECT DISTINCT pix >> 8 AS cov_pix FROM a WHERE pix < 60000 UNION SELECT CAST(x AS BIGINT) FROM (VALUES (500), (501)) v(x)", "a"))
+@query("coverage_pixels", with_relations("SELECT DISTINCT pix >> 8 AS cov_pix FROM ap UNION SELECT CAST(x AS BIGINT) FROM (VALUES (500), (501)) v(x)", "ap"))
 def _coverage(t: Tables) -> DataFrame:
-    return t.a((0, 60000)).coverage.append_pixels([500, 501]).df
+    return t.ap().coverage.append_pixels([500, 501]).df
 
 
-@query("coverage_mask", with_relations("SELECT p.pix AS cov_pix, c.cov_pix IS NOT NULL AS covered FROM (SELECT range AS pix FROM range(768)) p LEFT JOIN (SELECT DISTINCT pix >> 8 AS cov_pix FROM a WHERE pix < 60000) c ON p.pix = c.cov_pix", "a"))
+@query("coverage_mask", with_relations("SELECT p.pix AS cov_pix, c.cov_pix IS NOT NULL AS covered FROM (SELECT range AS pix FROM range(768)) p LEFT JOIN (SELECT DISTINCT pix >> 8 AS cov_pix FROM ap) c ON p.pix = c.cov_pix", "ap"))
 def _coverage_mask(t: Tables) -> DataFrame:
-    return t.a((0, 60000)).coverage_mask
+    return t.ap().coverage_mask
 
 
 @query("coverage_from_pixels", "SELECT range AS cov_pix, range IN (1, 2, 40) AS covered FROM range(768)")
@@ -102,10 +103,10 @@ def _block(t: Tables) -> DataFrame:
     return t.a().get_single_covpix_map(17).df
 
 
-@query("get_covpix_maps", with_relations("SELECT pix >> 8 AS cov_pix, count(*) AS n, max(v) AS v FROM a WHERE pix < 1024 GROUP BY 1", "a"))
+@query("get_covpix_maps", with_relations("SELECT pix >> 14 AS cov_pix, count(*) AS n, max(v) AS v FROM a GROUP BY 1", "a"))
 def _blocks(t: Tables) -> DataFrame:
-    """One small map for each of four covered blocks."""
-    parts = [m.df.groupBy(F.shiftright("pix", 8).alias("cov_pix")).agg(F.count("*").alias("n"), F.max("v").alias("v")) for m in t.a((0, 1024)).get_covpix_maps()]
+    """A map for each covered block; coverage at nside 1 has twelve of them."""
+    parts = [m.df.groupBy(F.shiftright("pix", 14).alias("cov_pix")).agg(F.count("*").alias("n"), F.max("v").alias("v")) for m in t.a(1).get_covpix_maps()]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -212,6 +213,18 @@ def _replace(t: Tables) -> DataFrame:
     return t.a().update_values_pix(t.b().df).df
 
 
+@query("update_replace_last", with_relations(f"SELECT coalesce(n.pix, b.pix) AS pix, coalesce(n.v, b.v) AS v FROM b FULL JOIN (SELECT (l_orderkey * 6151) % 196608 AS pix, CAST(arg_max(l_quantity, (l_orderkey * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT)) AS DOUBLE) AS v FROM lineitem GROUP BY 1) n ON b.pix = n.pix", "b"))
+def _replace_last(t: Tables) -> DataFrame:
+    """Several values for one pixel: the last in the given order stays."""
+    rows = t.table("lineitem").select(F.expr("(l_orderkey * 6151) % 196608").alias("pix"), F.col("l_quantity").cast("double").alias("v"), F.expr("(l_orderkey * 8 + l_linenumber) * 64 + cast(l_quantity as bigint)").alias("place"))
+    return t.b().update_values_pix(rows, check_unique=False, order="place").df
+
+
+@query("with_items", with_relations("SELECT coalesce(k.pix, ap.pix) AS pix, coalesce(k.v, ap.v) AS v FROM ap FULL JOIN (SELECT range AS pix, CAST(7 AS DOUBLE) AS v FROM range(100, 90000)) k ON ap.pix = k.pix", "ap"))
+def _with_items(t: Tables) -> DataFrame:
+    return t.ap().with_items(slice(100, 90000), 7.0).df
+
+
 @query("update_none", with_relations("SELECT pix, v FROM a WHERE pix NOT IN (SELECT pix FROM b)", "a", "b"))
 def _none(t: Tables) -> DataFrame:
     return t.a().update_values_pix(t.b().df.select("pix"), None).df
@@ -239,9 +252,9 @@ def _update_pos(t: Tables) -> DataFrame:
     return SkyMap.make_empty(t.spark, COVERAGE, NSIDE).update_values_pos(points, operation="add").df
 
 
-@query("update_ranges", with_relations("SELECT pix, sum(v) AS v FROM (SELECT pix, v FROM a WHERE pix < 60000 UNION ALL SELECT range, CAST(2 AS DOUBLE) FROM range(10000, 20000) UNION ALL SELECT range, CAST(2 AS DOUBLE) FROM range(15000, 40000)) GROUP BY 1", "a"))
+@query("update_ranges", with_relations("SELECT pix, sum(v) AS v FROM (SELECT pix, v FROM ap UNION ALL SELECT range, CAST(2 AS DOUBLE) FROM range(10000, 20000) UNION ALL SELECT range, CAST(2 AS DOUBLE) FROM range(15000, 40000)) GROUP BY 1", "ap"))
 def _ranges(t: Tables) -> DataFrame:
-    return t.a((0, 60000)).update_values_pix([(10000, 20000), (15000, 40000)], 2.0, operation="add").df
+    return t.ap().update_values_pix([(10000, 20000), (15000, 40000)], 2.0, operation="add").df
 
 
 @query("update_record", with_relations("SELECT coalesce(b.pix, r.pix) AS pix, CASE WHEN b.pix IS NULL THEN price ELSE b.v END AS price, CASE WHEN b.pix IS NULL THEN line ELSE -1 END AS line FROM r FULL JOIN b ON r.pix = b.pix", "r", "b"))
@@ -296,6 +309,21 @@ def _area(t: Tables) -> DataFrame:
     return m.df.agg(F.count("*").alias("n_valid")).withColumn("area", F.round(F.col("n_valid") * F.lit(px.pixel_area(NSIDE)), 6))
 
 
+@query("valid_area_steradians", with_relations(f"SELECT round(count(*) * (4 * pi() / {N_PIX}), 9) AS area FROM a", "a"))
+def _steradians(t: Tables) -> DataFrame:
+    return t.a().df.agg(F.round(F.count("*") * F.lit(px.pixel_area(NSIDE, False)), 9).alias("area"))
+
+
+@query("coverage_append", with_relations("SELECT DISTINCT pix >> 8 AS cov_pix FROM ap UNION SELECT DISTINCT pix >> 8 FROM b", "ap", "b"))
+def _append(t: Tables) -> DataFrame:
+    return SkyCoverage.make_empty(t.spark, COVERAGE, NSIDE).append_pixels(t.ap().cov).initialize_pixels(t.b().cov).df
+
+
+@query("copy", with_relations("SELECT pix, price, line FROM r", "r"))
+def _copy(t: Tables) -> DataFrame:
+    return t.r().copy().df
+
+
 @query("coverage_map", with_relations("SELECT p.pix AS cov_pix, coalesce(n, 0) / CAST(256 AS DOUBLE) AS fraction FROM (SELECT range AS pix FROM range(768)) p LEFT JOIN (SELECT pix >> 8 AS pix, count(*) AS n FROM a GROUP BY 1) g ON p.pix = g.pix", "a"))
 def _coverage_map(t: Tables) -> DataFrame:
     return t.a().coverage_map
@@ -323,15 +351,15 @@ _degraded("max", "max(v)")
 _degraded("min", "min(v)")
 
 
-@query("degrade_sum", with_relations("SELECT p.pix, coalesce(v, 0) AS v FROM (SELECT range AS pix FROM range(3072)) p LEFT JOIN (SELECT pix >> 6 AS pix, sum(v) AS v FROM a WHERE pix < 60000 GROUP BY 1) g ON p.pix = g.pix WHERE p.pix >> 2 IN (SELECT pix >> 8 FROM a WHERE pix < 60000)", "a"))
+@query("degrade_sum", with_relations("SELECT p.pix, coalesce(v, 0) AS v FROM (SELECT range AS pix FROM range(3072)) p LEFT JOIN (SELECT pix >> 6 AS pix, sum(v) AS v FROM ap GROUP BY 1) g ON p.pix = g.pix WHERE p.pix >> 2 IN (SELECT pix >> 8 FROM ap)", "ap"))
 def _degrade_sum(t: Tables) -> DataFrame:
     """Groups without a valid pixel inside covered blocks sum to 0."""
-    return t.a((0, 60000)).degrade(NSIDE // 8, "sum").df
+    return t.ap().degrade(NSIDE // 8, "sum").df
 
 
-@query("degrade_prod", with_relations("SELECT p.pix, coalesce(v, 1) AS v FROM (SELECT range AS pix FROM range(49152)) p LEFT JOIN (SELECT pix >> 2 AS pix, product(v) AS v FROM q WHERE pix < 60000 GROUP BY 1) g ON p.pix = g.pix WHERE p.pix >> 6 IN (SELECT pix >> 8 FROM q WHERE pix < 60000)", "q"))
+@query("degrade_prod", with_relations("SELECT p.pix, coalesce(v, 1) AS v FROM (SELECT range AS pix FROM range(49152)) p LEFT JOIN (SELECT pix >> 2 AS pix, product(v) AS v FROM qp GROUP BY 1) g ON p.pix = g.pix WHERE p.pix >> 6 IN (SELECT pix >> 8 FROM qp)", "qp"))
 def _degrade_prod(t: Tables) -> DataFrame:
-    return t.q((0, 60000)).degrade(NSIDE // 2, "prod").df
+    return t.qp().degrade(NSIDE // 2, "prod").df
 
 
 @query("degrade_wmean", with_relations("SELECT a.pix >> 4 AS pix, sum(a.v * weight.v) / sum(weight.v) AS v FROM a JOIN weight ON a.pix = weight.pix GROUP BY 1", "a", "weight"))
@@ -344,10 +372,9 @@ def _degrade_or(t: Tables) -> DataFrame:
     return t.m().degrade(NSIDE // 4, "or").df
 
 
-@query("degrade_and", with_relations("SELECT pix >> 2 AS pix, bit_and(v) AS v FROM i2 GROUP BY 1 HAVING count(*) = 4 AND bit_and(v) <> 0", "i", more="i2 AS (SELECT range AS pix, 8 + range % 8 AS v FROM range(4001, 8002))"))
+@query("degrade_and", with_relations("SELECT pix >> 2 AS pix, bit_and(v) AS v FROM mp GROUP BY 1 HAVING count(*) = 4 AND bit_and(v) <> 0", "mp"))
 def _degrade_and(t: Tables) -> DataFrame:
-    rows = t.spark.range(4001, 8002).select(F.col("id").alias("pix"), (F.col("id") % 8 + 8).alias("v"))
-    return SkyMap.from_frame(rows, COVERAGE, NSIDE, "int64", sentinel=0).degrade(NSIDE // 2, "and").df
+    return t.mp().degrade(NSIDE // 2, "and").df
 
 
 @query("degrade_wide", with_relations("SELECT pix >> 4 AS pix, bit_or(w0) AS w0, bit_or(w1) AS w1 FROM w GROUP BY 1", "w"))
@@ -387,3 +414,45 @@ def _upgrade_record(t: Tables) -> DataFrame:
 @query("rollup_levels", with_relations("SELECT CAST(64 AS INT) AS nside, pix >> 2 AS pix, max(v) AS v FROM a GROUP BY 2 UNION ALL SELECT CAST(16 AS INT), pix >> 6, max(v) FROM a GROUP BY 2 UNION ALL SELECT CAST(8 AS INT), pix >> 8, max(v) FROM a GROUP BY 2", "a"))
 def _rollup(t: Tables) -> DataFrame:
     return rollup(t.a(), [64, 16, 8], "max")
+
+
+# fine maps: pixels of nside 131072 in blocks of nside 32 -------------------------------------------------------------
+FINE, FINE_COVERAGE = 131072, 32
+_FINE = "fine AS (SELECT (event_id * CAST(7919000011 AS BIGINT)) % CAST(206158430208 AS BIGINT) AS pix, CAST(max(event_id % 1000) AS DOUBLE) AS v FROM events GROUP BY 1)"
+
+
+def _fine(t: Tables) -> SkyMap:
+    e = t.table("events").select(((F.col("event_id") * F.lit(7919000011)) % F.lit(206158430208)).alias("pix"), (F.col("event_id") % 1000).cast("double").alias("v"))
+    return SkyMap.from_frame(e.groupBy("pix").agg(F.max("v").alias("v")), FINE_COVERAGE, FINE, "float64")
+
+
+def _fine_sql(body: str) -> str:
+    return f"WITH {_FINE} {body}"
+
+
+@query("fine_degrade", _fine_sql("SELECT pix >> 10 AS pix, max(v) AS v FROM fine GROUP BY 1"))
+def _fine_degrade(t: Tables) -> DataFrame:
+    return _fine(t).degrade(FINE // 32, "max").df
+
+
+@query("fine_rollup", _fine_sql("SELECT CAST(1024 AS INT) AS nside, pix >> 14 AS pix, sum(v) AS v FROM fine GROUP BY 2 UNION ALL SELECT CAST(32 AS INT), pix >> 24, sum(v) FROM fine GROUP BY 2"))
+def _fine_rollup(t: Tables) -> DataFrame:
+    return rollup(_fine(t), [1024, 32], "sum")
+
+
+@query("fine_ranges", _fine_sql("SELECT coalesce(r.pix, f.pix) AS pix, coalesce(r.v, 0) + coalesce(f.v, 0) AS v FROM fine f FULL JOIN (SELECT range AS pix, CAST(2 AS DOUBLE) AS v FROM range(16770000, 16870000)) r ON f.pix = r.pix"))
+def _fine_ranges(t: Tables) -> DataFrame:
+    """A range over the border of a block of 16,777,216 pixels."""
+    return _fine(t).update_values_pix([(16770000, 16870000)], 2.0, operation="add").df
+
+
+@query("fine_union", _fine_sql("SELECT coalesce(f.pix, g.pix) AS pix, coalesce(f.v, 0) + coalesce(g.v, 0) AS v FROM fine f FULL JOIN (SELECT xor(pix, 1) AS pix, v + 1 AS v FROM fine) g ON f.pix = g.pix"))
+def _fine_union(t: Tables) -> DataFrame:
+    m = _fine(t)
+    other = SkyMap(m.df.select(F.col("pix").bitwiseXOR(F.lit(1)).alias("pix"), (F.col("v") + 1).alias("v")), m.meta)
+    return sum_union([m, other]).df
+
+
+@query("fine_fracdet", _fine_sql("SELECT pix >> 14 AS pix, count(*) / CAST(16384 AS DOUBLE) AS v FROM fine GROUP BY 1"))
+def _fine_fracdet(t: Tables) -> DataFrame:
+    return _fine(t).fracdet_map(1024).df

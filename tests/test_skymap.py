@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from starquilt.operators import algebra
+from starquilt.operators.algebra import product_union, sum_union
 from starquilt.operators.geometry import Box, Circle, Ellipse, Polygon, realize_geom
 from starquilt.operators.moc import to_moc
 from starquilt.operators.sampling import make_uniform_randoms, make_uniform_randoms_fast
-from starquilt.operators.skymap import SkyCoverage, SkyMap
+from starquilt.operators.skymap import SkyCoverage, SkyMap, expand_ranges
 
 NC, NS = 8, 32
 N = 12 * NS * NS
@@ -338,3 +339,61 @@ def test_moc(spark):
     m = new(spark, {p: True for p in range(16, 37)}, "bool")
     got = sorted(r[0] for r in to_moc(m).collect())
     assert got == sorted([4 * 4**3 + 1, 4 * 4**4 + 8, 4 * 4**5 + 36])
+
+
+def test_arithmetic_of_64_bits_wraps(spark):
+    r = np.random.default_rng(4)
+    v = np.r_[r.integers(-(2**62), 2**62, 200), np.array([2**62, -(2**62), 2**63 - 1, -(2**63) + 1, 3, -1, 0])]
+    m = SkyMap.from_frame(spark.createDataFrame([(k, int(x)) for k, x in enumerate(v)], "pix bigint, v bigint"), 8, 128, "int64")
+    low = np.iinfo(np.int64).min
+
+    def same(got, want):
+        assert {x.pix: x.v for x in got.df.collect()} == {k: int(x) for k, x in enumerate(want) if x != low}
+
+    with np.errstate(over="ignore"):
+        for c in (5, -7, 2**62, -(2**63) + 1):
+            same(m + c, v + np.int64(c))
+            same(m - c, v - np.int64(c))
+            same(m * c, v * np.int64(c))
+        same(m**3, v**3)
+        same(sum_union([m, m, m]), v + v + v)
+        same(product_union([m, m, m]), v * v * v)
+        same(m.update_values_pix(list(range(len(v))), [int(x) for x in v], operation="add"), v + v)
+        small = m.astype("int16", sentinel=-32768)
+        assert {x.pix: x.v for x in (small * 3).df.collect()} == {k: int(x) for k, x in enumerate(v.astype(np.int16) * np.int16(3)) if x != -32768 and v.astype(np.int16)[k] != -32768}
+
+
+def test_last_of_several_values_stays(spark):
+    m = SkyMap.make_empty(spark, 8, 128, "int64", sentinel=0).update_values_pix([1, 2, 1, 1, 3, 2], [1, 2, 3, 4, 5, 6], check_unique=False)
+    assert {x.pix: x.v for x in m.df.collect()} == {1: 4, 2: 6, 3: 5}
+    flags = SkyMap.make_empty(spark, 8, 128, "bool").update_values_pix([1, 2, 1, 2], [True, False, False, True], check_unique=False)
+    assert [x.pix for x in flags.df.collect()] == [2]
+    rows = spark.createDataFrame([(5, k, (k * 7) % 50) for k in range(50)], "pix bigint, v bigint, t int").repartition(6)
+    assert SkyMap.make_empty(spark, 8, 128, "int64").update_values_pix(rows, check_unique=False, order="t").df.collect()[0].v == 7
+
+
+def test_ranges_are_as_long_as_they_can_be(spark):
+    box = Box(10.0, 25.0, -5.0, 10.0, value=True)
+    pixels = sorted(x.pix for x in box.get_pixels(spark, 1024).collect())
+    ranges = sorted((x.start, x.end) for x in box.get_pixel_ranges(spark, 1024).collect())
+    assert [p for a, b in ranges for p in range(a, b)] == pixels
+    assert all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:])) and max(b - a for a, b in ranges) > 4096
+
+
+def test_long_ranges_and_coarse_cells_are_written_out_in_steps(spark):
+    from starquilt.operators.moc import from_moc
+
+    spans = spark.createDataFrame([(5, 9), (16_777_000, 17_000_000), (7, 7)], "start bigint, end bigint")
+    got = expand_ranges(spans, 24)
+    assert got.count() == 4 + 223_000 and got.agg({"pix": "max"}).first()[0] == 16_999_999
+    m = from_moc(spark.createDataFrame([(4 * 4**2 + 3,), (4 * 4**11 + 5,)], "uniq bigint"), 2)
+    assert m.nside_sparse == 2048 and m.n_valid == 4**9 + 1
+    assert {x.uniq for x in to_moc(m).collect()} == {4 * 4**2 + 3, 4 * 4**11 + 5}
+
+
+def test_random_positions_of_a_small_field_over_the_meridian(spark):
+    m = Circle(0.2, 30.0, 0.7, value=True).get_map(spark, 32, 1024, "bool")
+    points = make_uniform_randoms(m, 3000, seed=5)
+    looked = m.get_values_pos(points, valid_mask=True)
+    assert looked.count() == 3000 and looked.filter("not valid").count() == 0
+    assert make_uniform_randoms(m, 0).count() == 0
