@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,27 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..functions.ranking import frozen, global_rank, new_path
+
+__all__ = ["columns_of", "estimated_bytes", "frozen", "global_rank", "group_place", "hashed_unit", "join_groups", "map_pieces", "new_path", "parts_for", "pieces", "row_hash", "table", "unused"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session, or a local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="starquilt-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def frozen(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that later reads agree and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows of an Arrow batch at most, and bytes of the pieces in which functions over texts see a batch.
 BATCH_ROWS, PIECE_BYTES = 1000, 4 << 20
 
@@ -85,11 +72,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of `df`, which for a file scan comes from the file listing."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -106,28 +88,6 @@ def parts_for(df: DataFrame, bytes_each: int) -> int:
     return least if known >= 1 << 60 else max(least, min(MOST_PARTS, known // bytes_each + 1))  # 2**63 - 1 stands for unknown
 
 
-def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add a long `name`, counting rows from 0 in the order of `keys` over the whole table.
-
-    A range partitioning sorts the rows; each partition counts its own, and the prefix sum over the partitions
-    (one number each, the only thing that reaches the driver) makes the counts global. No task sees more than its range.
-    Rows that are equal in all keys are numbered in some order, which is fixed once computed.
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    rows = frozen(rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
-    base, total = {}, 0
-    for p in sorted(counts):
-        base[p] = total
-        total += counts[p]
-    offsets = spark.createDataFrame(sorted(base.items()) or [(0, 0)], "_part long, _base long")
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_base") + at).drop("_part", "_base", "_at")
-
-
 def group_place(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add a long `name`, counting the rows of each group of equal keys from 1, in some order that is fixed once computed.
 
