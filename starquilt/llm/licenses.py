@@ -100,7 +100,7 @@ def gate() -> list[str]:
     uncommon ones first, and those that serve another template already.
     """
     taken: set[str] = set()
-    common = set(BACKGROUND)
+    common = set(BACKGROUND) | {"this", "these", "do", "does", "can", "am", "were", "being"}
     for _, grams in sorted(templates(), key=lambda t: (len(t[1]), t)):
         words = sorted((g for g in grams if " " not in g), key=lambda w: (w in common, len(w) < 4, w not in taken, -len(w), w))
         lost: set[str] = set()
@@ -197,16 +197,24 @@ def _doubles(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _judged(grams: DataFrame, by: list[str]) -> DataFrame:
-    """Of rows (`by`, _w, _of), one for each n-gram that the model knows: a row for each paragraph that is confirmed, with _p, _k (less the family's number) and _s."""
+def _judged(grams: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows (`by`, _id, _of), one for each n-gram that the model knows: a row for each paragraph that is confirmed, with _p, _k (less the family's number) and _s.
+
+    Paragraphs that hold too little of every template go first; the others alone meet the weights.
+    """
     m = model()
+    lengths = F.array(*[F.lit(float(len(x))) for _, x in m.templates])
     of_family = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(float(len(x))).alias("n")) for t, (f, x) in enumerate(m.templates) if f == name]) for name in m.families])
-    gathered = grams.groupBy(*by).agg(F.collect_list("_w").alias("_ws"), F.flatten(F.collect_list("_of")).alias("_hits"))
+    gathered = grams.groupBy(*by).agg(F.collect_list("_id").alias("_ids"), F.flatten(F.collect_list("_of")).alias("_hits"))
+    held = lambda t, n: F.size(F.filter("_hits", lambda h: h == t)) / n
+    near = gathered.filter(F.exists(F.array_distinct("_hits"), lambda t: held(t, F.element_at(lengths, t + 1)) >= F.lit(CONFIRM)))
+    met = near.select(*by, "_hits", F.explode("_ids").alias("_id")).join(F.broadcast(weights), "_id")
+    summed = met.groupBy(*by).agg(F.collect_list("_w").alias("_ws"), F.first("_hits").alias("_hits"))
     z = F.aggregate("_ws", _doubles(m.bias.tolist()), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))
     odds = F.transform(z, lambda v: F.exp(F.least(v / F.lit(m.temperature), F.lit(700.0))))
-    ranked = gathered.select(*by, "_hits", odds.alias("_e")).withColumn("_b", F.array_max(F.transform("_e", lambda v, k: F.struct(v.alias("e"), (-k).alias("k")))))
+    ranked = summed.select(*by, "_hits", odds.alias("_e")).withColumn("_b", F.array_max(F.transform("_e", lambda v, k: F.struct(v.alias("e"), (-k).alias("k")))))
     ranked = ranked.withColumn("_p", F.col("_b.e") / (F.aggregate("_e", F.lit(1.0), lambda a, v: a + v))).withColumn("_k", F.col("_b.k")).filter(F.col("_p") >= F.lit(m.least))
-    share = F.array_max(F.transform(F.element_at(of_family, 1 - F.col("_k")), lambda t: F.size(F.filter("_hits", lambda h: h == t["t"])) / t["n"]))
+    share = F.array_max(F.transform(F.element_at(of_family, 1 - F.col("_k")), lambda t: held(t["t"], t["n"])))
     return ranked.withColumn("_s", share).filter(F.col("_s") >= F.lit(CONFIRM)).select(*by, "_p", "_k", "_s")
 
 
@@ -219,7 +227,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     for t, (_, grams) in enumerate(m.templates):
         for g in grams:
             of.setdefault(g, []).append(t)
-    table = df.sparkSession.createDataFrame([(g, weights.get(g, none), of.get(g, [])) for g in sorted({*weights, *of})], "_gram string, _w array<double>, _of array<int>")
+    every = sorted({*weights, *of})
+    table = df.sparkSession.createDataFrame([(g, k, of.get(g, [])) for k, g in enumerate(every)], "_gram string, _id int, _of array<int>")
+    weighed = df.sparkSession.createDataFrame([(k, weights.get(g, none)) for k, g in enumerate(every)], "_id int, _w array<double>")
 
     long, short = _gates()
     passes = lambda c: functools.reduce(lambda a, b: a | b, [c.contains(s) for s in long]) | c.rlike(short)
@@ -235,7 +245,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     couple = F.transform(couple, lambda i: F.struct((2 * i + 1).alias("at"), F.concat_ws(" ", here(i), here(i + 1)).alias("line")))
     units = lines.select("_row", F.explode(F.concat(single, couple)).alias("_u")).select("_row", F.col("_u.at").alias("_at"), F.regexp_extract_all("_u.line", F.lit(f"({WORD})"), 1).alias("_words"))
     grams = units.select("_row", "_at", F.explode(_grams(F.col("_words"))).alias("_g")).join(F.broadcast(table), F.col("_g") == F.col("_gram"))
-    found = _judged(grams.select("_row", "_at", "_w", "_of"), ["_row", "_at"])
+    found = _judged(grams.select("_row", "_at", "_id", "_of"), weighed, ["_row", "_at"])
 
     # what counts in a text: lines, and pairs that touch none of these nor follow a pair of the same family
     all_of = found.groupBy("_row").agg(F.collect_list(F.struct("_p", "_k", "_s", "_at")).alias("_all"))
