@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import columns_of, frozen, join_groups, map_pieces, unused
+from .shared import columns_of, frozen, join_groups, map_pieces, row_hash, unused
 
 WORDS, SEED, BUDGET = 3, 42, 3
 
@@ -262,12 +262,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes_of(prints: DataFrame, bucket: int = 4096) -> DataFrame:
-    """For (_id, _fp) rows: each distinct `fp` with `n`, its rows, and `component_id`, the smallest id of its class."""
+    """For (_id, _fp) rows: each distinct `fp` with `n`, its rows, `root`, a fingerprint that stands for its class, and `component_id`, the smallest id of the class."""
     each = frozen(prints.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("least"), F.count("*").alias("n")))
     roots = frozen(components(links(each, bucket)))
     named = roots.join(each, roots.v == each.fp).groupBy("root").agg(F.min("least").alias("_c"), F.count("*").alias("_n"))
-    linked = join_groups(roots, named, "root", "_n").select(F.col("v").alias("_v"), "_c")
-    return each.join(linked, each.fp == linked._v, "left").select("fp", "n", F.when(F.col("_v").isNull(), F.col("least")).otherwise(F.col("_c")).alias("component_id"))
+    linked = join_groups(roots, named, "root", "_n").select(F.col("v").alias("_v"), "root", "_c")
+    return each.join(linked, each.fp == linked._v, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("_v").isNull(), F.col("least")).otherwise(F.col("_c")).alias("component_id"))
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 4096) -> DataFrame:
@@ -278,14 +278,24 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = 4096) -> DataFrame:
-    """The rows of `df`, all columns, of which one of each class stays: that of the smallest id (and smallest fingerprint, if rows share the id)."""
-    fp, wid, wfp, place = unused(df, "_fp", "_wid", "_wfp", "_n")
-    full = with_fingerprint(df, text_col, fp)
-    prints = frozen(with_fingerprint(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "_fp").drop("_text"))
+    """The rows of `df`, all columns, of which one of each class stays: that of the smallest id (and smallest fingerprint, if rows share the id).
+
+    Ids, fingerprints and hashes of the texts alone decide; whole rows shuffle once, to meet the id and hash of those
+    that stay. Of rows alike in both, one stays.
+    """
+    key, text_hash, rows, place = unused(df, "_key", "_hash", "_rows", "_place")
+    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    prints = frozen(with_fingerprint(slim, "_text", "_fp").drop("_text"))
     found = join_groups(prints, classes_of(prints, bucket).withColumnRenamed("fp", "_fp"), "_fp", "n")
     # the first of a class: ids are compared with null last
-    first = found.groupBy(F.col("component_id")).agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_fp"))).alias("_f"))
-    first = first.select(F.col("_f._id").alias(wid), F.col("_f._fp").alias(wfp))
-    kept = full.join(first, F.col(id_col).eqNullSafe(F.col(wid)) & (F.col(fp) == F.col(wfp)), "left_semi")
-    order = Window.partitionBy(id_col, fp).orderBy(F.length(text_col), text_col)
-    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*columns_of(df))
+    alike = found.groupBy("root", "_id", "_fp", "_hash").agg(F.count("*").alias("_rows"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_fp", "_hash", "_rows")).alias("_f"))
+    first = frozen(first.select(F.col("_f._id").alias(key), F.col("_f._hash").alias(text_hash), F.col("_f._rows").alias(rows)))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(text_hash))
+    out = df.join(first.filter(F.col(rows) == 1), same).select(*columns_of(df))
+    many = first.filter(F.col(rows) > 1)
+    if many.take(1):
+        order = Window.partitionBy(key, text_hash).orderBy(row_hash(df))
+        one = df.join(many, same).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+        out = out.union(one.select(*columns_of(df)))
+    return out
