@@ -50,12 +50,15 @@ def global_rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     counts global. Rows that are equal in all keys are numbered in some order, which is fixed once computed.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = frozen(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    return numbered_rows(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), name)
+
+
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """Add a long `name`, counting rows from 0 in the order in which they lie, without a shuffle; fixed once computed."""
+    rows = frozen(df.withColumn("_at", F.monotonically_increasing_id()))
     return _counted(rows, "_at").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_base", "_at")
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
     """n rows of `df` without sending them through one task."""
-    rows = frozen(df.withColumn("_at", F.monotonically_increasing_id()))
-    place = F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return _counted(rows, "_at").filter(place < n).drop("_base", "_at")
+    return numbered_rows(df, "_place").filter(F.col("_place") < n).drop("_place")

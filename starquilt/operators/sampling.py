@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelization as px
-from ..functions.ranking import first_rows, frozen, global_rank
+from ..functions.ranking import first_rows, frozen, numbered_rows
 from .skymap import SkyMap
 
 
 def make_uniform_randoms_fast(m: SkyMap, n: int, nside_randoms: int = 1 << 23, seed: int = 0) -> DataFrame:
-    """n positions (id, ra, dec): a valid pixel drawn with replacement, then a pixel of `nside_randoms` below it."""
+    """n positions (id, ra, dec): a valid pixel drawn with replacement, then a pixel of `nside_randoms` below it.
+
+    Pixels are numbered where they lie, by counts of their partitions, without a shuffle, so
+    the positions of a seed are the same only while the map is partitioned alike.
+    """
     count = m.n_valid
     if not count:
         raise ValueError("the map has no valid pixels")
     k = px.shift_between(nside_randoms, m.nside_sparse)
-    numbered = global_rank(m.valid_pixels, ["pix"], "_n")
+    numbered = numbered_rows(m.valid_pixels.sortWithinPartitions("pix"), "_n")
     drawn = m.df.sparkSession.range(n).select("id", F.least(F.floor(F.rand(seed) * count), F.lit(count - 1)).cast("bigint").alias("_n"), F.floor(F.rand(seed + 1) * (1 << k)).cast("bigint").alias("_s"))
     at = drawn.join(numbered, "_n").select("id", F.shiftleft("pix", k).bitwiseOR(F.col("_s")).alias("_p"))
     return px.with_angles(at, nside_randoms, "_p", ("ra", "dec")).drop("_p")
