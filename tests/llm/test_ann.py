@@ -85,3 +85,25 @@ def test_depth_follows_the_loss_of_the_codes(spark, rows, monkeypatch):
     want = brute(rows, 16, 20, 20)
     each = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
     assert np.mean(each) >= 0.95 and min(each) >= 0.5
+
+
+def recalls(spark, v, every=20):
+    rows = [(i, x) for i, x in enumerate(np.asarray(v, np.float32).tolist())]
+    got = collect(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=every))
+    want = brute(rows, len(v[0]), every, 20)
+    return np.array([len({i for i, _ in got.get(q, [])} & {i for i, _ in want[q]}) / 20 for q in want])
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1e20])
+def test_very_small_and_very_large_vectors(spark, scale):
+    each = recalls(spark, scale * np.random.default_rng(4).normal(size=(2500, 16)))
+    assert each.mean() >= 0.95 and each.min() >= 0.5
+
+
+def test_queries_unlike_the_other_rows(spark):
+    """Lists are counted for the queries asked: other rows, of which there are twenty times as many, need fewer."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(40, 32))[r.integers(0, 40, 6000)] + 0.2 * r.normal(size=(6000, 32))
+    v[::20] = -v[::20]
+    each = recalls(spark, v)
+    assert each.mean() >= 0.98 and (each < 0.5).mean() <= 0.02
