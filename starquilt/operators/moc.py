@@ -28,13 +28,17 @@ def _shifted(x: Column, bits: Column) -> Column:
     return F.call_function("shiftleft", x, bits.cast("int"))
 
 
-def from_moc(uniq: DataFrame, nside_coverage: int) -> SkyMap:
-    """A boolean map as fine as the finest pixel of (uniq)."""
+def from_moc(uniq: DataFrame, nside_coverage: int, nside_sparse: int | None = None) -> SkyMap:
+    """A boolean map as fine as the finest pixel of (uniq), or as `nside_sparse` if that is finer.
+
+    The set alone does not tell the resolution of the map it was made of: where all of it lies in complete coarser
+    pixels, none of the finest is left.
+    """
     # position of the highest bit: 2 + 2 * order
     order = F.floor((F.length(F.bin("uniq")) - 3) / 2).cast("int")
     rows = uniq.select(order.alias("order"), (F.col("uniq") - _shifted(F.lit(1).cast("bigint"), 2 + 2 * order)).alias("index"))
     finest = rows.agg(F.max("order")).first()[0]
-    finest = px.order_of(nside_coverage) if finest is None else max(finest, px.order_of(nside_coverage))
+    finest = max(px.order_of(nside_coverage), px.order_of(nside_sparse or 1), 0 if finest is None else finest)
     least = rows.agg(F.min("order")).first()[0]
     bits = (2 * (F.lit(finest) - F.col("order"))).cast("int")
     df = expand_pixels(rows.select(F.col("index").alias("pix"), "order"), bits, 2 * (finest - (finest if least is None else least))).select("pix").distinct()

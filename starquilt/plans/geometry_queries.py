@@ -193,7 +193,7 @@ def _to_moc(t: Tables) -> DataFrame:
 
 @query("read_moc", with_relations("SELECT pix FROM blocky", "ba", more=_BLOCKY))
 def _from_moc(t: Tables) -> DataFrame:
-    return moc.from_moc(moc.to_moc(_blocky(t)), COVERAGE).df
+    return moc.from_moc(moc.to_moc(_blocky(t)), COVERAGE, NSIDE).df
 
 
 @query("read_moc_mixed_orders", with_relations("SELECT DISTINCT c.pix * 4096 + k.range AS pix FROM (SELECT DISTINCT pix % 3 AS pix FROM ba) c, range(4096) k UNION SELECT pix FROM ba UNION SELECT (pix >> 4) * 16 + k.range FROM ba, range(16) k", "ba"))

@@ -397,3 +397,15 @@ def test_random_positions_of_a_small_field_over_the_meridian(spark):
     looked = m.get_values_pos(points, valid_mask=True)
     assert looked.count() == 3000 and looked.filter("not valid").count() == 0
     assert make_uniform_randoms(m, 0).count() == 0
+
+
+def test_multi_order_set_at_the_resolution_of_its_map(spark):
+    from starquilt.operators.moc import from_moc
+
+    m = SkyMap.make_empty(spark, 8, 128, "bool").update_values_pix([(0, 1024)], True)
+    cells = to_moc(m)
+    assert {x.uniq for x in cells.collect()} == {4 * 4**3 + i for i in range(4)}
+    assert from_moc(cells, 8).nside_sparse == 8
+    back = from_moc(cells, 8, 128)
+    assert back.nside_sparse == 128 and sorted(x.pix for x in back.df.collect()) == list(range(1024))
+    assert from_moc(spark.createDataFrame([(4 * 4**9 + 5,)], "uniq bigint"), 8, 128).nside_sparse == 512
