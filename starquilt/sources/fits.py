@@ -40,6 +40,7 @@ STORED = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 LETTER = {"L": "u1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8"}
 #: What a file says of its own kind; a program that insists on another word gets it as a parameter.
 PIXTYPE = "SPARSEMAP"
+MOC_TOOL = "starquilt"
 
 
 # headers ------------------------------------------------------------------------------------------------------------
@@ -430,7 +431,9 @@ def read_healpix(spark: SparkSession, path: str, nside_coverage: int) -> SkyMap:
     h, forms = part.header, part.columns()
     if str(h.get("ORDERING", "")).strip() == "NUNIQ":
         column = next(iter(forms))
-        return from_moc(table_frame(spark, path, part, {column: "bigint"}).select(F.col(column).alias("uniq")), nside_coverage)
+        # our own files tell the resolution of their map; in others MOCORDER may be far finer than any pixel
+        own = 1 << int(h["MOCORDER"]) if str(h.get("MOCTOOL", "")).strip() == MOC_TOOL else None
+        return from_moc(table_frame(spark, path, part, {column: "bigint"}).select(F.col(column).alias("uniq")), nside_coverage, own)
     nside, ring = h["NSIDE"], str(h.get("ORDERING", "")).strip() == "RING"
     scheme = str(h.get("INDXSCHM", "IMPLICIT")).strip()
     if scheme == "IMPLICIT":
@@ -612,5 +615,5 @@ def write_healpix(m: SkyMap, path: str, clobber: bool = False) -> None:
 
 def write_moc(m: SkyMap, path: str, clobber: bool = False) -> None:
     """The valid pixels as a multi-order set."""
-    cards = [("PIXTYPE", "HEALPIX"), ("ORDERING", "NUNIQ"), ("COORDSYS", "C"), ("MOCORDER", px.order_of(m.nside_sparse)), ("MOCVERS", "2.0"), ("MOCDIM", "SPACE")]
+    cards = [("PIXTYPE", "HEALPIX"), ("ORDERING", "NUNIQ"), ("COORDSYS", "C"), ("MOCORDER", px.order_of(m.nside_sparse)), ("MOCTOOL", MOC_TOOL), ("MOCVERS", "2.0"), ("MOCDIM", "SPACE")]
     _write_table(path, clobber, to_moc(m), [("UNIQ", "uniq", "int64")], cards)

@@ -110,6 +110,16 @@ def test_healpix_tables(spark, tmp_path):
     back = read_map(spark, moc, nside_coverage=NC)
     k = back.nside_sparse // NS
     assert k == 1 and back.df.exceptAll(b.df).count() == 0 and back.n_valid == b.n_valid
+    # complete coarse pixels alone: the file tells the resolution that its pixels do not
+    whole = SkyMap.make_empty(spark, NC, NS, "bool").update_values_pix([(0, (NS // NC) ** 2)], True)
+    write_map(whole, moc, "moc", clobber=True)
+    back = read_map(spark, moc, nside_coverage=NC)
+    assert back.nside_sparse == NS and back.n_valid == whole.n_valid == (NS // NC) ** 2 and back.df.exceptAll(whole.df).count() == 0
+    # another tool's MOCORDER is no reason to write pixels out any finer than its own
+    raw = open(moc, "rb").read()
+    other = tmp_path / "other.fits"
+    other.write_bytes(raw.replace(b"starquilt", b"some tool"))
+    assert read_map(spark, str(other), nside_coverage=NC).nside_sparse == NC
     # full sky in rows of 1024 values, in ring order
     for order in ("RING", "NESTED"):
         values = np.full(12 * NS * NS, -1.6375e30, ">f4")
