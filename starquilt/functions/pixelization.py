@@ -138,8 +138,14 @@ def lonlat(a: Column, b: Column, is_lonlat: bool) -> tuple[Column, Column]:
     return (a, b) if is_lonlat else (F.degrees(b), 90.0 - F.degrees(a))
 
 
-def with_pixel(df: DataFrame, nside: int, a: str, b: str, name: str = "pix", is_lonlat: bool = True) -> DataFrame:
-    """Add the pixel of each position; null where a coordinate is null."""
+def with_pixel(df: DataFrame, nside: int, a: str, b: str, name: str = "pix", is_lonlat: bool = True, sine: bool = False) -> DataFrame:
+    """Add the pixel of each position; null where a coordinate is null.
+
+    With `sine`, `b` is the sine of the latitude beside a longitude in degrees. What is known by its sine is best given
+    so: an angle and back loses a digit, which can move a position that lies on a pixel's border.
+    """
+    if sine:
+        return with_pixel_of_z(df, nside, b, a, name)
     let = Let(df)
     lon, lat = let(*lonlat(F.col(a).cast("double"), F.col(b).cast("double"), is_lonlat))
     r = let(F.radians(lat))

@@ -324,9 +324,9 @@ class SkyMap:
         looked = looked.withColumn(key, F.shiftright(key, px.shift_between(at, self.nside_sparse)))
         return self._gather(looked, key, valid_mask)
 
-    def get_values_pos(self, points: DataFrame, a: str = "ra", b: str = "dec", lonlat: bool = True, valid_mask: bool = False) -> DataFrame:
-        """The same for positions."""
-        return self._gather(px.with_pixel(points, self.nside_sparse, a, b, "_at", lonlat), "_at", valid_mask)
+    def get_values_pos(self, points: DataFrame, a: str = "ra", b: str = "dec", lonlat: bool = True, valid_mask: bool = False, sine: bool = False) -> DataFrame:
+        """The same for positions; with `sine`, `b` is the sine of the latitude."""
+        return self._gather(px.with_pixel(points, self.nside_sparse, a, b, "_at", lonlat, sine), "_at", valid_mask)
 
     def _gather(self, points: DataFrame, key: str, valid_mask: bool) -> DataFrame:
         keep = [c for c in points.columns if c != key]
@@ -353,8 +353,8 @@ class SkyMap:
         """`points` with `set`: whether any of the bits is."""
         return self._any_bit(self.get_values_pix(points, nest), bits)
 
-    def check_bits_pos(self, points: DataFrame, bits: Sequence[int], a: str = "ra", b: str = "dec", lonlat: bool = True) -> DataFrame:
-        return self._any_bit(self.get_values_pos(points, a, b, lonlat), bits)
+    def check_bits_pos(self, points: DataFrame, bits: Sequence[int], a: str = "ra", b: str = "dec", lonlat: bool = True, sine: bool = False) -> DataFrame:
+        return self._any_bit(self.get_values_pos(points, a, b, lonlat, sine=sine), bits)
 
     def _any_bit(self, looked: DataFrame, bits: Sequence[int]) -> DataFrame:
         if self.meta.kind != "wide":

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from starquilt.functions import pixelization as px
 from starquilt.operators import algebra
 from starquilt.operators.algebra import product_union, sum_union
 from starquilt.operators.geometry import Box, Circle, Ellipse, Polygon, realize_geom
@@ -409,3 +410,20 @@ def test_multi_order_set_at_the_resolution_of_its_map(spark):
     back = from_moc(cells, 8, 128)
     assert back.nside_sparse == 128 and sorted(x.pix for x in back.df.collect()) == list(range(1024))
     assert from_moc(spark.createDataFrame([(4 * 4**9 + 5,)], "uniq bigint"), 8, 128).nside_sparse == 512
+
+
+@pytest.fixture
+def on_a_border(spark):
+    """A position on the border of two pixels of nside 128; its sine comes back otherwise from degrees."""
+    return spark.createDataFrame([(67.5, 0.5625)], "ra double, z double").withColumn("dec", F.degrees(F.asin("z")))
+
+
+def test_positions_by_sine(spark, on_a_border):
+    at = {r.z: r.pix for r in px.with_pixel(on_a_border, 128, "ra", "z", sine=True).collect()}
+    assert at == {0.5625: 4918}
+    m = SkyMap.make_empty(spark, 8, 128).update_values_pix([4918], 7.0)
+    assert [r.v for r in m.get_values_pos(on_a_border, "ra", "z", sine=True).collect()] == [7.0]
+    # off the borders both ways agree
+    many = spark.range(5000).selectExpr("(id * 137.508) % 360 AS ra", "((id * 7919) % 100003) / 50001.5D - 1 AS z").withColumn("dec", F.degrees(F.asin("z")))
+    both = px.with_pixel(px.with_pixel(many, 128, "ra", "z", "p", sine=True), 128, "ra", "dec", "q")
+    assert both.filter("p <> q").count() == 0
