@@ -493,8 +493,9 @@ class SkyMap:
 
         return both.select("pix", *[joined(c, k).alias(c) for c, k in self._kinds().items()])
 
-    def update_values_pos(self, points: DataFrame, values: Any = None, a: str = "ra", b: str = "dec", lonlat: bool = True, operation: str = "replace", check_unique: bool = True, order: str | None = None) -> SkyMap:
-        at = px.with_pixel(points, self.nside_sparse, a, b, "pix", lonlat)
+    def update_values_pos(self, points: DataFrame, values: Any = None, a: str = "ra", b: str = "dec", lonlat: bool = True, operation: str = "replace", check_unique: bool = True, order: str | None = None, sine: bool = False) -> SkyMap:
+        """The same for positions; with `sine`, `b` is the sine of the latitude."""
+        at = px.with_pixel(points, self.nside_sparse, a, b, "pix", lonlat, sine)
         keep = [c for c in (*(self.meta.values or ["v"]), *([order] if order else [])) if c in points.columns]
         return self.update_values_pix(at.select("pix", *dict.fromkeys(keep)), values, operation=operation, check_unique=check_unique, order=order)
 

@@ -427,3 +427,8 @@ def test_positions_by_sine(spark, on_a_border):
     many = spark.range(5000).selectExpr("(id * 137.508) % 360 AS ra", "((id * 7919) % 100003) / 50001.5D - 1 AS z").withColumn("dec", F.degrees(F.asin("z")))
     both = px.with_pixel(px.with_pixel(many, 128, "ra", "z", "p", sine=True), 128, "ra", "dec", "q")
     assert both.filter("p <> q").count() == 0
+
+
+def test_updates_by_sine(spark, on_a_border):
+    m = SkyMap.make_empty(spark, 8, 128).update_values_pos(on_a_border.withColumn("v", F.lit(2.0)), None, "ra", "z", operation="add", sine=True)
+    assert [(r.pix, r.v) for r in m.df.collect()] == [(4918, 2.0)]
