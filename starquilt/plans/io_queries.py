@@ -71,7 +71,8 @@ def _stream(t: Tables) -> DataFrame:
     got = t.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     # a time without a zone counts as UTC whatever the session's zone is
     ts = F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)))").alias("ts")
-    return got.select(ts, (((F.col("event_id") * 137508) % 360000) / F.lit(1000.0)).alias("ra"), F.degrees(F.asin((F.col("event_id") * 7919 % 100000) / F.lit(50000.0) - 1)).alias("dec"))
+    z = (F.col("event_id") * 7919 % 100000) / F.lit(50000.0) - 1
+    return got.select(ts, (((F.col("event_id") * 137508) % 360000) / F.lit(1000.0)).alias("ra"), z.alias("z"), F.degrees(F.asin(z)).alias("dec"))
 
 
 @query("stream_accumulate", with_relations("SELECT pix, CAST(count(*) AS DOUBLE) AS v FROM pixelled GROUP BY 1", "spots", more=sql_pixel("spots", NSIDE)))
@@ -79,7 +80,7 @@ def _accumulate(t: Tables) -> DataFrame:
     """A stream of positions, summed into a map batch by batch."""
     path = new_path(t.spark, "stream")
     empty = SkyMap.make_empty(t.spark, COVERAGE, NSIDE)
-    accumulate(_stream(t).withColumn("v", F.lit(1.0)), empty.meta, path, available_now=True).awaitTermination()
+    accumulate(_stream(t).withColumn("v", F.lit(1.0)), empty.meta, path, dec="z", available_now=True, sine=True).awaitTermination()
     return snapshot(t.spark, empty.meta, path).df
 
 

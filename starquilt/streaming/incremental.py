@@ -27,17 +27,20 @@ def _combined(rows: DataFrame, meta: Meta, operation: str) -> DataFrame:
     return rows.groupBy("pix").agg(*[OPERATIONS[operation](c).cast(kinds[c]).alias(c) for c in meta.values])
 
 
-def _pixelled(rows: DataFrame, nside: int, ra: str, dec: str) -> DataFrame:
-    return rows if "pix" in rows.columns else px.with_pixel(rows, nside, ra, dec)
+def _pixelled(rows: DataFrame, nside: int, ra: str, dec: str, sine: bool) -> DataFrame:
+    return rows if "pix" in rows.columns else px.with_pixel(rows, nside, ra, dec, sine=sine)
 
 
-def accumulate(stream: DataFrame, meta: Meta, path: str, operation: str = "add", ra: str = "ra", dec: str = "dec", state: str | None = None, available_now: bool = False, every: str = "1 minute") -> StreamingQuery:
-    """Start a query that merges a stream of (pix or ra, dec; value columns) into the folder `path`; `state` is its checkpoint."""
+def accumulate(stream: DataFrame, meta: Meta, path: str, operation: str = "add", ra: str = "ra", dec: str = "dec", state: str | None = None, available_now: bool = False, every: str = "1 minute", sine: bool = False) -> StreamingQuery:
+    """Start a query that merges a stream of (pix or ra, dec; value columns) into the folder `path`; `state` is its checkpoint.
+
+    With `sine`, `dec` names a column of sines of latitudes.
+    """
     if operation not in OPERATIONS or meta.kind not in ("scalar", "wide"):
         raise ValueError("streams are added or combined bit by bit into maps of numbers and wide masks")
 
     def merge(batch: DataFrame, number: int) -> None:
-        _combined(_pixelled(batch, meta.nside_sparse, ra, dec).select("pix", *meta.values), meta, operation).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _combined(_pixelled(batch, meta.nside_sparse, ra, dec, sine).select("pix", *meta.values), meta, operation).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", state or new_path(stream.sparkSession, "state"))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
@@ -71,8 +74,8 @@ def compact(spark: SparkSession, meta: Meta, path: str, operation: str = "add")
     system.move(at(new)[1], target)
 
 
-def windowed_counts(stream: DataFrame, nside: int, time: str, width: str, slide: str | None = None, watermark: str = "1 hour", ra: str = "ra", dec: str = "dec") -> DataFrame:
+def windowed_counts(stream: DataFrame, nside: int, time: str, width: str, slide: str | None = None, watermark: str = "1 hour", ra: str = "ra", dec: str = "dec", sine: bool = False) -> DataFrame:
     """(start, end, pix, n): positions of each pixel in tumbling or sliding windows of event time; rows later than the watermark are dropped."""
-    rows = _pixelled(stream.withWatermark(time, watermark), nside, ra, dec)
+    rows = _pixelled(stream.withWatermark(time, watermark), nside, ra, dec, sine)
     by = F.window(time, width, slide) if slide else F.window(time, width)
     return rows.groupBy(by.alias("_w"), "pix").agg(F.count("*").alias("n")).select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "pix", "n")

@@ -56,3 +56,13 @@ def test_sliding_windows(spark, tmp_path):
     out = str(tmp_path / "out")
     counted.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.withColumn("start", F.unix_timestamp("start")).write.mode("overwrite").parquet(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 1, 2]
+
+
+def test_positions_by_sine(spark, tmp_path):
+    """A position on the border of two pixels of nside 128, whose sine comes back otherwise from degrees."""
+    rows = stream(spark, str(tmp_path / "in"), [(67.5, 0.5625, 1.0)], "ra double, z double, v double")
+    meta, out = SkyMap.make_empty(spark, 8, 128).meta, str(tmp_path / "out")
+    accumulate(rows, meta, out, dec="z", state=str(tmp_path / "state"), available_now=True, sine=True).awaitTermination()
+    assert values(snapshot(spark, meta, out)) == {4918: 1.0}
+    timed = spark.createDataFrame([(dt.datetime(2024, 1, 1), 67.5, 0.5625)], "ts timestamp, ra double, z double")
+    assert [(r.pix, r.n) for r in windowed_counts(timed, 128, "ts", "1 hour", dec="z", sine=True).collect()] == [(4918, 1)]
